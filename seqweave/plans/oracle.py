@@ -2,6 +2,94 @@
 
 from __future__ import annotations
 
+_SEQ = "seq AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)"
+_VOCAB = "vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM seq))"
+_PAIRS = """pairs AS (SELECT a.seq_id, CAST(o.k AS INTEGER) AS k, a.pos AS one, b.pos AS two, a.token AS ctx, b.token AS nxt
+FROM seq a, (SELECT unnest([1, 2, 3]) AS k) o JOIN seq b ON b.seq_id = a.seq_id AND b.pos = a.pos + o.k)"""
+_PROB = """counts AS (SELECT k, ctx, nxt, count(*) AS n FROM pairs GROUP BY k, ctx, nxt),
+prob AS (SELECT k, ctx, nxt, n, CAST(sum(n) OVER (PARTITION BY k, ctx) AS BIGINT) AS n_ctx, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY k, ctx) AS p FROM counts)"""
+_THRESHOLDS = """seen AS (SELECT nxt AS token, p, sum(n_ctx) AS w FROM prob GROUP BY nxt, p),
+total AS (SELECT sum(n_ctx) AS n FROM (SELECT DISTINCT k, ctx, n_ctx FROM prob)),
+vals AS (SELECT token, p, w FROM seen UNION ALL SELECT token, 0.0, (SELECT n FROM total) - sum(w) FROM seen GROUP BY token HAVING (SELECT n FROM total) > sum(w)),
+sums AS (SELECT token, p, sum(w) OVER a AS i, sum(w * p) OVER a AS s, sum(w) OVER (PARTITION BY token) AS n, sum(w * p) OVER (PARTITION BY token) AS t FROM vals WINDOW a AS (PARTITION BY token ORDER BY p)),
+cuts AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(CASE WHEN i < n THEN s * s / i + (t - s) * (t - s) / (n - i) ELSE -1 END, 9) DESC, p) AS r FROM sums),
+thr AS (SELECT token, CASE WHEN i < n THEN (s / i + (t - s) / (n - i)) / 2 ELSE p END AS threshold FROM cuts WHERE r = 1)"""
+_EDGES = "found AS (SELECT seq_id, k, one, two FROM pairs JOIN prob USING (k, ctx, nxt) JOIN thr ON thr.token = nxt WHERE p >= threshold)"
+_REACH = """reach(seq_id, pos, g) AS (SELECT DISTINCT seq_id, a, a FROM e UNION SELECT e.seq_id, e.b, r.g FROM reach r JOIN e ON e.seq_id = r.seq_id AND e.a = r.pos WHERE r.g < e.b),
+groups AS (SELECT seq_id, min(g) AS link_id, pos FROM reach GROUP BY seq_id, pos)"""
+_FIRST = """ends AS (SELECT seq_id, one AS v, two AS o, k, one FROM found UNION ALL SELECT seq_id, two, one, k, one FROM found),
+first AS (SELECT seq_id, v, o FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, v ORDER BY k, one) AS r FROM ends) WHERE r = 1),
+e AS (SELECT seq_id, v AS a, o AS b FROM first UNION SELECT seq_id, o, v FROM first)"""
+_ALL = "e AS (SELECT seq_id, one AS a, two AS b FROM found UNION SELECT seq_id, two, one FROM found)"
+_SPELLING = "^[^A-Za-z0-9]*([A-Za-z]+)[^A-Za-z0-9]*([0-9]+)"
 
-def oracle_sql():
-    return {}
+
+def _name(token: str) -> str:
+    return f"CASE WHEN regexp_matches({token}, '{_SPELLING}') THEN upper(regexp_extract({token}, '{_SPELLING}', 1)) || '_' || CAST(CAST(regexp_extract({token}, '{_SPELLING}', 2) AS BIGINT) AS VARCHAR) END"
+
+
+_NAMED = f"named AS (SELECT seq_id, pos, min(token) AS token FROM (SELECT seq_id, pos, {_name('token')} AS token FROM ptb) WHERE token IS NOT NULL GROUP BY seq_id, pos)"
+_CONTENTS = "held AS (SELECT DISTINCT l.seq_id, l.link_id, l.pos, n.token FROM linkset l JOIN named n ON n.seq_id = l.seq_id AND n.pos = l.pos)"
+_FORMS = """t AS (SELECT DISTINCT link_id, type_name FROM link_types WHERE type_name IS NOT NULL), tn AS (SELECT type_name, count(*) AS n FROM t GROUP BY type_name),
+df AS (SELECT type_name, token, count(DISTINCT link_id) AS df FROM t JOIN held USING (link_id) GROUP BY type_name, token),
+form AS (SELECT type_name, token FROM df JOIN tn USING (type_name) WHERE df >= n * CAST(0.6 AS DOUBLE))"""
+_GROUPED = """own AS (SELECT seq_id, seq_id * 1000000 + link_id AS link_id, pos FROM groups),
+kinds AS (SELECT link_id, 'new_event_' || count(*) AS type_name, CASE WHEN avg(pos) > (min(pos) + max(pos)) / 2 THEN max(pos) ELSE min(pos) END AS anchor FROM own GROUP BY link_id)"""
+_NUMBER = "CAST('0x' || substr(md5(concat_ws('|', '42', seq_id)), 1, 8) AS BIGINT)"
+
+
+def _with(*parts: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
+
+
+def oracle_sql() -> dict[str, str]:
+    edges = (_SEQ, _PAIRS, _PROB, _THRESHOLDS, _EDGES)
+    return {
+        "token_sequence": _with(_SEQ) + "SELECT seq_id, pos, token FROM seq",
+        "vocabulary": _with(_SEQ, _VOCAB) + "SELECT token, token_id FROM vocab",
+        "numberify": _with(_SEQ, _VOCAB) + "SELECT seq_id, pos, token_id FROM seq JOIN vocab USING (token)",
+        "lookahead_pairs": _with(_SEQ, _PAIRS) + "SELECT seq_id, k, one, two, ctx, nxt FROM pairs",
+        "sliding_windows": _with(_SEQ, _VOCAB) + """, w AS (SELECT seq_id, pos, list(token_id) OVER s AS win, lead(token_id) OVER (PARTITION BY seq_id ORDER BY pos) AS label
+FROM seq JOIN vocab USING (token) WINDOW s AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT seq_id, pos, array_to_string(win, ' ') AS win, label FROM w WHERE len(win) = 10 AND label IS NOT NULL""",
+        "one_hot_labels": _with(_SEQ, _VOCAB) + "SELECT seq_id, pos, repeat('0', CAST(token_id AS BIGINT)) || '1' || repeat('0', CAST((SELECT count(*) FROM vocab) - 1 - token_id AS BIGINT)) AS label FROM seq JOIN vocab USING (token)",
+        "batch_layout": _with(_SEQ) + "SELECT seq_id, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches, (count(*) - 1) % 50 + 1 AS last_batch FROM seq GROUP BY seq_id",
+        "next_event_prob": _with(_SEQ, _PAIRS, _PROB) + "SELECT k, ctx, nxt, n, n_ctx, p FROM prob",
+        "probability_column": _with(_SEQ, _PAIRS, _PROB) + "SELECT k, ctx, p, n_ctx AS n FROM prob WHERE nxt = 'click' AND p >= 0",
+        "matrix_shape": _with(_SEQ, _VOCAB, _PAIRS, _PROB) + "SELECT k, count(*) AS n_rows, (SELECT count(*) FROM vocab) AS n_columns FROM seq JOIN (SELECT DISTINCT k, ctx FROM prob) ON ctx = token GROUP BY k",
+        "probability_deltas": _with(_SEQ, _VOCAB, _PAIRS, _PROB) + """, cells AS (SELECT c.k, c.ctx, v.token_id, coalesce(prob.p, 0) AS p FROM (SELECT DISTINCT k, ctx FROM prob) c CROSS JOIN vocab v LEFT JOIN prob ON prob.k = c.k AND prob.ctx = c.ctx AND prob.nxt = v.token)
+SELECT seq_id, pos, k, token_id, round(p - coalesce(lag(p) OVER (PARTITION BY seq_id, k, token_id ORDER BY pos), 0), 9) AS delta FROM seq JOIN cells ON ctx = token""",
+        "sampled_scan": _with(_SEQ, _PAIRS) + "SELECT seq_id, k, one, two, ctx, nxt FROM pairs WHERE substr(md5(concat_ws('|', seq_id, k, one)), 1, 4) < '3333'",
+        "thresholds": _with(_SEQ, _PAIRS, _PROB, _THRESHOLDS) + "SELECT token, round(threshold, 9) AS threshold FROM thr",
+        "kmeans_assign": "SELECT event_id, CAST(CASE WHEN value IS NULL THEN NULL WHEN abs(value - 10) <= abs(value - 50) AND abs(value - 10) <= abs(value - 90) THEN 0 WHEN abs(value - 50) <= abs(value - 90) THEN 1 ELSE 2 END AS INTEGER) AS centre FROM events",
+        "estimate_epochs": f"WITH n AS (SELECT split, {_name('token')} AS token FROM ptb) SELECT round(least(count(DISTINCT token) / CAST(count(DISTINCT CASE WHEN split = 'train' THEN token END) AS DOUBLE), 2) * 16, 6) AS epochs FROM n",
+        "link_edges": _with(*edges) + "SELECT seq_id, k, one, two FROM found",
+        "link_groups": _with(*edges, _FIRST, _REACH, recursive=True) + "SELECT seq_id, link_id, pos FROM groups",
+        "link_groups_merged": _with(*edges, _ALL, _REACH, recursive=True) + "SELECT seq_id, link_id, pos FROM groups",
+        "link_contents": _with(_NAMED, _CONTENTS) + "SELECT seq_id, link_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM held GROUP BY seq_id, link_id",
+        "link_span": "SELECT seq_id, link_id, min(pos) AS first_pos, max(pos) AS last_pos, avg(pos) AS mean_pos, count(*) AS size FROM (SELECT DISTINCT seq_id, link_id, pos FROM linkset WHERE pos IS NOT NULL) GROUP BY seq_id, link_id",
+        "link_similarity": _with(_NAMED, _CONTENTS) + """, bag AS (SELECT min(link_id) AS bag_id, tokens FROM (SELECT link_id, list(token ORDER BY token) AS tokens FROM held GROUP BY link_id) GROUP BY tokens),
+c AS (SELECT bag_id, token, count(*) AS n FROM (SELECT bag_id, unnest(tokens) AS token FROM bag) GROUP BY bag_id, token),
+pair AS (SELECT a.bag_id AS one, b.bag_id AS two, sum(a.n) AS c1, sum(b.n) AS c2 FROM c a JOIN c b ON a.token = b.token AND a.bag_id < b.bag_id GROUP BY 1, 2),
+rated AS (SELECT one, two, least(CAST(c2 AS DOUBLE) / len(x.tokens), CAST(c1 AS DOUBLE) / len(y.tokens)) AS similarity FROM pair JOIN bag x ON x.bag_id = one JOIN bag y ON y.bag_id = two)
+SELECT one, two, round(similarity, 9) AS similarity FROM rated WHERE similarity >= CAST(0.6 AS DOUBLE)""",
+        "canonical_forms": _with(_NAMED, _CONTENTS, _FORMS) + "SELECT type_name, coalesce(string_agg(token, ' ' ORDER BY token), '') AS tokens FROM tn LEFT JOIN form USING (type_name) GROUP BY type_name",
+        "match_previous_types": _with(_NAMED, _CONTENTS, _FORMS) + f""", prev AS (SELECT DISTINCT type_name AS previous_name, token FROM (SELECT type_name, {_name('t')} AS token FROM (SELECT type_name, unnest(tokens) AS t FROM type_forms WHERE type_name IS NOT NULL)) WHERE token IS NOT NULL),
+x AS (SELECT type_name, count(*) AS x FROM form GROUP BY type_name), y AS (SELECT previous_name, count(*) AS y FROM prev GROUP BY previous_name),
+m AS (SELECT type_name, previous_name, count(*) AS c FROM form JOIN prev USING (token) GROUP BY type_name, previous_name)
+SELECT type_name, max(previous_name) AS previous_name FROM m JOIN x USING (type_name) JOIN y USING (previous_name) WHERE least(CAST(c AS DOUBLE) / x, CAST(c AS DOUBLE) / y) >= CAST(0.6 AS DOUBLE) GROUP BY type_name""",
+        "rename_types": """WITH r AS (SELECT DISTINCT link_id, CASE WHEN link_id % 3 <> 0 THEN regexp_extract(type_name, '([0-9]+)$', 1) ELSE type_name END AS type_name FROM link_types),
+o AS (SELECT coalesce(max(CAST(regexp_extract(type_name, '^new_event_([0-9]+)', 1) AS BIGINT)) + 1, 0) AS o FROM type_forms WHERE regexp_matches(type_name, '^new_event_[0-9]+')),
+n AS (SELECT type_name, 'new_event_' || (dense_rank() OVER (ORDER BY CAST(type_name AS BIGINT)) - 1 + o) AS new_name FROM (SELECT DISTINCT type_name FROM r WHERE regexp_matches(type_name, '^[0-9]+$')), o)
+SELECT link_id, coalesce(new_name, type_name) AS type_name FROM r LEFT JOIN n USING (type_name)""",
+        "update_dataset": _with(_NAMED) + """, t AS (SELECT link_id, max(type_name) AS type_name FROM link_types WHERE type_name IS NOT NULL GROUP BY link_id),
+last_link AS (SELECT seq_id, pos, arg_max(type_name, link_id) AS type_name FROM linkset JOIN t USING (link_id) WHERE pos IS NOT NULL GROUP BY seq_id, pos)
+SELECT seq_id, pos, coalesce(type_name, token) AS token FROM named LEFT JOIN last_link USING (seq_id, pos)""",
+        "compress_sequence": _with(*edges, _FIRST, _REACH, _GROUPED, recursive=True) + """SELECT s.seq_id, s.pos, coalesce(kinds.type_name, s.token) AS token FROM seq s
+LEFT JOIN own ON own.seq_id = s.seq_id AND own.pos = s.pos LEFT JOIN kinds USING (link_id) WHERE own.pos IS NULL OR kinds.anchor = s.pos""",
+        "split_sequence": _with(_SEQ) + """, z AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM seq), y AS (SELECT *, round_even(n * CAST(0.1 AS DOUBLE), 0) AS te, round_even(n * CAST(0.2 AS DOUBLE), 0) AS va FROM z)
+SELECT seq_id, pos, token, CASE WHEN pos < n - te - va THEN 'train' WHEN pos < n - te THEN 'valid' ELSE 'test' END AS split FROM y""",
+        "holdout_split": _with(_SEQ) + f""", z AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM seq), y AS (SELECT *, CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS len FROM z),
+x AS (SELECT *, {_NUMBER} % greatest(n - len, 1) AS start FROM y)
+SELECT seq_id, pos, token, pos >= start AND pos < start + len AS held_out FROM x""",
+    }

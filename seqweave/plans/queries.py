@@ -1,7 +1,227 @@
-"""The queries of the core, over the tables of a data folder."""
+"""The queries of the core, over the whole tables of a data folder.
+
+The event stream gives one sequence per user; the tables of links and types give the contents that clustering,
+canonical forms and matching work on. Floats that are sums are rounded where they leave, not before.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqweave.functions.naming import event_name
+from seqweave.operators import links, model, rewrite, sequence, similarity, thresholds, types
+from seqweave.plans import pipeline
+from seqweave.schema import Params
+from seqweave.session import write_table
+from seqweave.sources.tables import table
+
+LOOKAHEAD, WINDOW, BATCH = 3, 10, 50
+PARAMS = Params(lookahead=LOOKAHEAD, window=WINDOW)
+
+
+def _seq(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.token_sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.lookahead_pairs(_seq(spark, d), LOOKAHEAD)
+
+
+def _prob(spark: SparkSession, d: str) -> DataFrame:
+    return model.next_event_prob(_pairs(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    edges, _, _ = pipeline.find_edges(_seq(spark, d), PARAMS)
+    return edges
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return links.link_groups(_edges(spark, d))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """The events of ``ptb`` under their names, at their own positions."""
+    rows = table(spark, d, "ptb").select("seq_id", "pos", event_name(F.col("token")).alias("token"))
+    return rows.where("token is not null").groupBy("seq_id", "pos").agg(F.min("token").alias("token"))
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return links.link_contents(table(spark, d, "linkset"), _named(spark, d))
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    return types.canonical_forms(_contents(spark, d), table(spark, d, "link_types"), PARAMS.threshold)
+
+
+def token_sequence(spark, d):
+    return _seq(spark, d)
+
+
+def vocabulary(spark, d):
+    return sequence.vocabulary(_seq(spark, d))
+
+
+def numberify(spark, d):
+    s = _seq(spark, d)
+    return sequence.numberify(s, sequence.vocabulary(s))
+
+
+def lookahead_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+def sliding_windows(spark, d):
+    s = _seq(spark, d)
+    w = sequence.sliding_windows(sequence.numberify(s, sequence.vocabulary(s)), WINDOW, 1)
+    return w.select("seq_id", "pos", F.concat_ws(" ", F.col("win").cast("array<string>")).alias("win"), "label")
+
+
+def one_hot_labels(spark, d):
+    s = _seq(spark, d)
+    vocab = sequence.vocabulary(s)
+    size = vocab.count()
+    return sequence.numberify(s, vocab).select("seq_id", "pos", F.concat_ws("", sequence.one_hot(F.col("token_id"), size).cast("array<string>")).alias("label"))
+
+
+def batch_layout(spark, d):
+    return sequence.batch_layout(_seq(spark, d), BATCH)
+
+
+def next_event_prob(spark, d):
+    return _prob(spark, d)
+
+
+def probability_column(spark, d):
+    return model.probability_column(_prob(spark, d), "click")
+
+
+def matrix_shape(spark, d):
+    s = _seq(spark, d)
+    return model.matrix_shape(s, model.probability_rows(_prob(spark, d), sequence.vocabulary(s)))
+
+
+def probability_deltas(spark, d):
+    s = _seq(spark, d)
+    rows = model.probability_rows(model.next_event_prob(sequence.lookahead_pairs(s, LOOKAHEAD)), sequence.vocabulary(s))
+    return model.probability_deltas(s, rows).select("seq_id", "pos", "k", "token_id", F.round("delta", 9).alias("delta"))
+
+
+def sampled_scan(spark, d):
+    return model.sampled(_pairs(spark, d), 0.2, keys=["seq_id", "k", "one"])
+
+
+def thresholds_query(spark, d):
+    t = thresholds.two_means_thresholds(thresholds.value_weights(_prob(spark, d)))
+    return t.select("token", F.round("threshold", 9).alias("threshold"))
+
+
+def kmeans_assign(spark, d):
+    return table(spark, d, "events").select("event_id", thresholds.nearest(F.col("value"), [10.0, 50.0, 90.0]).alias("centre"))
+
+
+def estimate_epochs(spark, d):
+    all_ = _named_split(spark, d)
+    n = sequence.estimate_epochs(16.0, all_.where("split = 'train'"), all_)
+    return spark.range(1).select(F.round(F.lit(float(n)), 6).alias("epochs"))
+
+
+def _named_split(spark, d):
+    rows = table(spark, d, "ptb").select("split", event_name(F.col("token")).alias("token"))
+    return rows.where("token is not null")
+
+
+def link_edges(spark, d):
+    return _edges(spark, d)
+
+
+def link_groups(spark, d):
+    return _groups(spark, d)
+
+
+def link_groups_merged(spark, d):
+    return links.link_groups_merged(_edges(spark, d))
+
+
+def link_contents(spark, d):
+    return _contents(spark, d).select("seq_id", "link_id", F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+def link_span(spark, d):
+    return links.link_span(table(spark, d, "linkset"))
+
+
+def link_similarity(spark, d):
+    own = write_table(similarity.bags(_contents(spark, d)), "bags").df
+    return similarity.similar_bags(own, PARAMS.threshold).select("one", "two", F.round("similarity", 9).alias("similarity"))
+
+
+def cluster_links(spark, d):
+    return types.cluster_links(_contents(spark, d), PARAMS.threshold)
+
+
+def canonical_forms(spark, d):
+    return _forms(spark, d).select("type_name", F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+def _previous(spark, d):
+    each = table(spark, d, "type_forms").where("type_name is not null").select("type_name", F.explode("tokens").alias("t"))
+    sets = each.select("type_name", event_name(F.col("t")).alias("t")).where("t is not null").groupBy("type_name").agg(F.sort_array(F.collect_set("t")).alias("tokens"))
+    return sets.withColumn("ord", F.row_number().over(Window.orderBy("type_name")))  # one row per type
+
+
+def match_previous_types(spark, d):
+    return types.match_previous(_forms(spark, d), _previous(spark, d), PARAMS.threshold)
+
+
+def rename_types(spark, d):
+    rows = table(spark, d, "link_types").select("link_id", F.when(F.col("link_id") % 3 != 0, F.regexp_extract("type_name", "([0-9]+)$", 1)).otherwise(F.col("type_name")).alias("type_name"))
+    rows = rows.distinct()
+    dataset = table(spark, d, "type_forms").select(F.col("type_name").alias("token"))
+    return types.rename_types(rows, types.new_names(rows, types.newest_event(dataset)))
+
+
+def update_dataset(spark, d):
+    return rewrite.update_dataset(_named(spark, d), table(spark, d, "linkset"), table(spark, d, "link_types"))
+
+
+def _grouped(spark, d):
+    """Groups of the event sequences, named over all sequences, each of the type of its size."""
+    own = write_table(_groups(spark, d).select("seq_id", (F.col("seq_id") * 1000000 + F.col("link_id")).alias("link_id"), "pos"), "groups").df
+    kinds = own.groupBy("link_id").agg(F.concat(F.lit("new_event_"), F.count("*").cast("string")).alias("type_name"))
+    return own, kinds
+
+
+def compress_sequence(spark, d):
+    own, kinds = _grouped(spark, d)
+    return rewrite.compress_sequence(_seq(spark, d), own, kinds)
+
+
+def split_sequence(spark, d):
+    return rewrite.split_sequence(_seq(spark, d))
+
+
+def holdout_split(spark, d):
+    return rewrite.holdout_split(_seq(spark, d), 0.2)
+
+
+def activity_pipeline(spark, d):
+    layer = pipeline.run_layer(_seq(spark, d), None, PARAMS)
+    return layer.split(PARAMS)
+
+
+def two_layer_pipeline(spark, d):
+    return pipeline.run_layers(_seq(spark, d), 2, PARAMS)[-1].compressed
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    all_ = (
+        token_sequence, vocabulary, numberify, lookahead_pairs, sliding_windows, one_hot_labels, batch_layout, next_event_prob, probability_column, matrix_shape,
+        probability_deltas, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_groups_merged, link_contents, link_span, link_similarity,
+        cluster_links, canonical_forms, match_previous_types, rename_types, update_dataset, compress_sequence, split_sequence, holdout_split, activity_pipeline,
+        two_layer_pipeline,
+    )
+    return {f.__name__: f for f in all_} | {"thresholds": thresholds_query}
