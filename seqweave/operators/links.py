@@ -92,7 +92,7 @@ def link_groups_merged(edges: DataFrame) -> DataFrame:
 
 def link_contents(members: DataFrame, sequence: DataFrame) -> DataFrame:
     """``seq_id, link_id, tokens``: the tokens at a link's positions in their order; unknown positions add nothing."""
-    rows = members.where("pos is not null").select("seq_id", "link_id", "pos").distinct().join(sequence, ["seq_id", "pos"])
+    rows = members.where("pos is not null").select("seq_id", "link_id", "pos").distinct().join(sequence.select("seq_id", "pos", "token"), ["seq_id", "pos"])
     return rows.groupBy("seq_id", "link_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("o")).select("seq_id", "link_id", F.col("o.token").alias("tokens"))
 
 

@@ -31,7 +31,8 @@ class MarkovModel:
 
     def transform(self, sequence: DataFrame) -> DataFrame:
         """``seq_id, pos, k, token, p``: the probabilities that aren't 0, keyed by the position the prediction is made at."""
-        return sequence.join(self.prob, sequence.token == self.prob.ctx).select("seq_id", "pos", "k", F.col("nxt").alias("token"), "p")
+        seq = sequence.select("seq_id", "pos", F.col("token").alias("ctx"))
+        return seq.join(self.prob, "ctx").select("seq_id", "pos", "k", F.col("nxt").alias("token"), "p")
 
 
 def next_event_prob(pairs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def vocabulary(sequence: DataFrame) -> DataFrame:
 
 def numberify(sequence: DataFrame, vocab: DataFrame) -> DataFrame:
     """``seq_id, pos, token_id``; a token that isn't in the vocabulary is left out (:func:`unknown_tokens` counts them)."""
-    return sequence.join(vocab, "token").select("seq_id", "pos", "token_id")
+    return sequence.select("seq_id", "pos", "token").join(vocab.select("token", "token_id"), "token").select("seq_id", "pos", "token_id")
 
 
 def unknown_tokens(sequence: DataFrame, vocab: DataFrame) -> int:
@@ -63,7 +63,8 @@ def blocked(sequence: DataFrame, ahead: int, behind: int = 0, block: int = BLOCK
     b = F.floor(F.col("pos") / block)
     first = F.floor((F.col("pos") - ahead) / block)
     last = F.floor((F.col("pos") + behind) / block)
-    each = sequence.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    kept = sequence.select("seq_id", "pos", *(c for c in ("token", "token_id") if c in sequence.columns))
+    each = kept.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     return each.withColumn("own", b == F.col("block"))
 
 
