@@ -40,7 +40,7 @@ def _subset_patterns(small: int, num: int, den: int) -> dict[int, list[list[int]
 
 def _subsets(classes: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """``class, key``: a hash per subset; equal subsets have equal hashes, and a chance collision is filtered later."""
-    per_size = F.lit(None)
+    per_size = F.lit(None).cast("array<bigint>")
     for x, patterns in _subset_patterns(small, num, den).items():
         if patterns:
             keys = F.array(*(F.xxhash64(*(F.element_at("names", i) for i in p)) for p in patterns))
