@@ -1,4 +1,5 @@
 import importlib.util
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -198,15 +199,15 @@ def test_neighbour_graph_recall(spark):
     code = {n: i + 1 for i, n in enumerate(sorted({x for c in classes for x in c}))}
     rare = Counter(x for c in classes for x in c)
     lists = [sorted((rare[x], code[x]) for x in c) for c in classes]
-    rows = sorted((l[j][1], [c for _, c in l], i) for i, l in enumerate(lists) for j in range(len(l) - -(-len(l) // 3) + 1))
+    rows = sorted((l[j][1], [c for _, c in l], i) for i, l in enumerate(lists) for j in range(len(l) - math.ceil(len(l) * 0.36) + 1))
     m = np.full((len(rows), 12), -1, np.int64)
     for i, (_, l, _) in enumerate(rows):
         m[i, : len(l)] = l
-    a, b, _ = clusters._pairs(np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), m, np.array([len(r[1]) for r in rows]), 2 / 3)
+    a, b, _ = clusters._pairs(np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), m, np.array([len(r[1]) for r in rows]), 0.64)
     reached = set(zip(a.tolist(), b.tolist()))
     hit = want = 0
     for i, c in enumerate(classes):
-        near = sorted(((-jaccard(set(c), set(o)), j) for j, o in enumerate(classes) if j != i and jaccard(set(c), set(o)) >= 1 / 3))
+        near = sorted(((-jaccard(set(c), set(o)), j) for j, o in enumerate(classes) if j != i and jaccard(set(c), set(o)) >= 0.36))
         top = near[:5]
         # ties of the fifth count as found if as many equally near ones are reached
         for d, _ in top:
