@@ -1,8 +1,9 @@
 """Problem 6: consolidating pairwise matches into groups.
 
 Alternating large-star and small-star edge rewrites through distributed joins until nothing changes; every node then
-hangs on the minimum of its component. Each chunk of edges is first reduced to its own stars by a local union-find,
-so that the rounds move at most one edge per node and chunk.
+hangs on the minimum of its component. Each chunk of edges is first reduced to its own stars by a local union-find.
+Only where a node has stars in several chunks do their centres belong together: the rounds run on those centres, and a
+last join takes what they come to back to the nodes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ EDGE = "seq_id long, hi long, lo long"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a chunk to edges (node, least node of its group in the chunk)."""
+    """The edges of a chunk to (node, least node of its group in the chunk), one row for each of its nodes."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -34,9 +35,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code[order] = np.cumsum(new) - 1
     of, at = of[new], at[new]
     label = local_labels(len(at), code[: len(seq)], code[len(seq) :])
-    keep = label != np.arange(len(at))
-    out = pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(at[keep]), pa.array(at[label[keep]])], names=["seq_id", "hi", "lo"])
-    yield out
+    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(at[label])], names=["seq_id", "hi", "lo"])
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,6 +75,18 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("seq_id", "hi", F.col("m").alias("lo"))).distinct()
 
 
+def star_rounds(edges: DataFrame) -> DataFrame:
+    """``seq_id, hi, lo``: each node but the least of its component with that least node. ``edges`` has hi > lo."""
+    now = write_table(edges, "edges")
+    seen = _fingerprint(now.df)
+    while True:
+        after = write_table(small_star(large_star(now.df)), "edges")
+        now.drop()
+        now, before, seen = after, seen, _fingerprint(after.df)
+        if seen == before:
+            return now.df
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``seq_id, group, node``: one row per node that is in a pair, ``group`` being the least node of its component.
 
@@ -90,14 +101,13 @@ def components(pairs: DataFrame) -> DataFrame:
     )
     # Neighbouring positions share a chunk; a sequence with a third of all edges spreads over several.
     chunks = clean.repartitionByRange(partitions(spark), "seq_id", "lo", "hi")
-    now = write_table(chunks.mapInArrow(_stars, EDGE), "edges")
-    seen = _fingerprint(now.df)
-    while True:
-        after = write_table(small_star(large_star(now.df)), "edges")
-        now.drop()
-        now, before, seen = after, seen, _fingerprint(after.df)
-        if seen == before:
-            break
-    leaves = now.df.select("seq_id", F.col("lo").alias("group"), F.col("hi").alias("node"))
-    roots = now.df.select("seq_id", F.col("lo").alias("group"), F.col("lo").alias("node")).distinct()
-    return leaves.unionByName(roots)
+    stars = write_table(chunks.mapInArrow(_stars, EDGE), "stars")
+    own = stars.df.groupBy("seq_id", "hi").agg(F.min("lo").alias("m"), F.max("lo").alias("top"), F.count("*").alias("chunks"))
+    nodes = write_table(own, "nodes").df
+    centres = nodes.where("m <> top").select("seq_id", F.col("top").alias("hi"), F.col("m").alias("lo"))
+    several = nodes.where("chunks > 2 and m <> top").select("seq_id", "hi", "m")
+    if not several.isEmpty():  # centres between the least and the largest
+        between = stars.df.join(several, ["seq_id", "hi"]).where("lo <> m").select("seq_id", F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        centres = centres.unionByName(between)
+    end = star_rounds(centres.distinct()).withColumnsRenamed({"hi": "m", "lo": "to"})
+    return nodes.join(end, ["seq_id", "m"], "left").select("seq_id", F.coalesce("to", "m").alias("group"), F.col("hi").alias("node"))

@@ -368,3 +368,9 @@ def test_link_names(spark, tmp_path):
 def test_queries_run_on_the_smallest_tables(spark, small):
     for name, q in queries.queries().items():
         assert q(spark, small).count() > 0, name
+
+
+def test_star_rounds_alone(spark):
+    edges = spark.createDataFrame([(0, i + 1, i) for i in range(200)] + [(1, 9, i) for i in range(9)] + [(2, 5, 1), (2, 7, 5), (2, 7, 3)], "seq_id long, hi long, lo long")
+    got = {(r.seq_id, r.hi): r.lo for r in components.star_rounds(edges).collect()}
+    assert got == {(0, i): 0 for i in range(1, 201)} | {(1, i): 0 for i in range(1, 10)} | {(2, i): 1 for i in (3, 5, 7)}
