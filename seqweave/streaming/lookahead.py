@@ -1,0 +1,49 @@
+"""Next-event counts kept up to date from a stream of events.
+
+The batch engine reads complete tables; this sink lets the same counting model grow with a stream whose sequences arrive
+in order of position, in pieces: each micro-batch is joined with the last events of its sequences, and its new pairs are
+added to the counts. State and counts are tables in the shared folder, replaced as a whole per batch, so a batch that
+runs again after a failure gives the same result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from seqweave.operators.sequence import lookahead_pairs
+
+
+class StreamingCounts:
+    """Use as ``stream.writeStream.foreachBatch(StreamingCounts(folder, lookahead)).start()`` on ``seq_id, pos, token``."""
+
+    def __init__(self, folder: str, lookahead: int):
+        self.folder, self.lookahead = folder.rstrip("/"), lookahead
+
+    def _at(self, batch: int) -> str:
+        return f"{self.folder}/batch={batch}"
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        events = rows.select("seq_id", "pos", "token").where("seq_id is not null and pos is not null and token is not null").dropDuplicates(["seq_id", "pos"])
+        old = events.withColumn("new", F.lit(True))
+        counts = None
+        if batch > 0:
+            tail = spark.read.parquet(f"{self._at(batch - 1)}/tail").withColumn("new", F.lit(False))
+            counts = spark.read.parquet(f"{self._at(batch - 1)}/counts")
+            old = old.unionByName(tail)
+        pairs = lookahead_pairs(old, self.lookahead)
+        fresh = pairs.join(old.where("new").select("seq_id", F.col("pos").alias("two")), ["seq_id", "two"], "left_semi")
+        added = fresh.groupBy("k", "ctx", "nxt").agg(F.count("*").alias("n"))
+        if counts is not None:
+            added = added.unionByName(counts).groupBy("k", "ctx", "nxt").agg(F.sum("n").alias("n"))
+        last = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("pos")))
+        tail = old.withColumn("r", last).where(F.col("r") <= self.lookahead).select("seq_id", "pos", "token")
+        added.write.mode("overwrite").parquet(f"{self._at(batch)}/counts")
+        tail.write.mode("overwrite").parquet(f"{self._at(batch)}/tail")
+
+    def prob(self, spark, batch: int) -> DataFrame:
+        """``k, ctx, nxt, n, n_ctx, p`` after a batch."""
+        n = spark.read.parquet(f"{self._at(batch)}/counts")
+        total = n.groupBy("k", "ctx").agg(F.sum("n").alias("n_ctx"))
+        return n.join(total, ["k", "ctx"]).select("k", "ctx", "nxt", "n", "n_ctx", (F.col("n") / F.col("n_ctx")).alias("p"))

@@ -1,0 +1,24 @@
+from seqweave.operators.model import next_event_prob
+from seqweave.operators.sequence import lookahead_pairs
+from seqweave.streaming.lookahead import StreamingCounts
+
+
+def test_counts_of_a_stream_equal_those_of_the_whole(spark, tmp_path):
+    rows = [(s, i, f"t{(i * i + s) % 4}") for s in range(3) for i in range(40)]
+    schema = "seq_id long, pos long, token string"
+    for b in range(4):
+        part = [r for r in rows if r[1] // 10 == b]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = StreamingCounts(str(tmp_path / "state"), 3)
+    seen = []
+
+    def each(df, batch):
+        counts(df, batch)
+        seen.append(batch)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in counts.prob(spark, seen[-1]).collect())
+    want = sorted(tuple(r) for r in next_event_prob(lookahead_pairs(spark.createDataFrame(rows, schema), 3)).collect())
+    assert got == want and len(seen) == 4
