@@ -26,6 +26,12 @@ def delta_edges(sequence: DataFrame, pairs: DataFrame, deltas: DataFrame, vocab:
     return scored.where("delta >= threshold").select("seq_id", "k", "one", "two")
 
 
+def score_edges(pairs: DataFrame, scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """As :func:`link_edges`, for estimators whose probabilities differ by position: ``scores`` has ``seq_id, pos, k, token, p``."""
+    at = scores.join(thresholds, "token").where("p >= threshold").select("seq_id", "k", F.col("pos").alias("one"), F.col("token").alias("nxt"))
+    return pairs.join(at, ["seq_id", "k", "one", "nxt"], "left_semi").select("seq_id", "k", "one", "two")
+
+
 def _jump(parents: DataFrame) -> Written:
     """``seq_id, v, r``: the root of each node of a forest ``seq_id, v, p`` (roots are their own parents); three jumps a job."""
     now, last = parents, None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators import links, model, rewrite, sequence, types
+from seqweave.operators.network import NetworkEstimator, scores
 from seqweave.operators.thresholds import two_means_thresholds, value_weights
 from seqweave.schema import Params
 from seqweave.session import write_table
@@ -39,6 +40,13 @@ class Layer:
 def find_edges(seq: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges, probabilities and thresholds of a sequence."""
     pairs = sequence.lookahead_pairs(seq, params.lookahead)
+    if params.estimator == "network":
+        vocab = sequence.vocabulary(seq)
+        net = NetworkEstimator(params.lookahead, params.window, params.embedding, params.network_layers, params.epochs, params.epoch_increment, params.seed).fit(seq, vocab)
+        scored = write_table(scores(net.transform(seq, vocab), vocab), "scores").df
+        values = scored.groupBy("token", "p").agg(F.count("*").alias("w"))
+        thresholds = write_table(two_means_thresholds(values), "thresholds").df
+        return links.score_edges(pairs, scored, thresholds), scored, thresholds
     prob = write_table(model.MarkovEstimator(params.lookahead).fit(seq).prob, "prob").df
     if params.score_source == "delta":
         vocab = sequence.vocabulary(seq)

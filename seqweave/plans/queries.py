@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.naming import event_name
-from seqweave.operators import links, model, rewrite, sequence, similarity, thresholds, types
+from seqweave.operators import links, model, network, rewrite, sequence, similarity, thresholds, types
 from seqweave.plans import pipeline
 from seqweave.schema import Params
 from seqweave.session import write_table
@@ -110,6 +110,13 @@ def probability_deltas(spark, d):
     return model.probability_deltas(s, rows).select("seq_id", "pos", "k", "token_id", F.round("delta", 9).alias("delta"))
 
 
+def network_probabilities(spark, d):
+    s = _seq(spark, d)
+    vocab = sequence.vocabulary(s)
+    net = network.NetworkEstimator(1, 4, epochs=20).fit(s, vocab)
+    return network.scores(net.transform(s, vocab), vocab)
+
+
 def sampled_scan(spark, d):
     return model.sampled(_pairs(spark, d), 0.2, keys=["seq_id", "k", "one"])
 
@@ -220,7 +227,7 @@ def two_layer_pipeline(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         token_sequence, vocabulary, numberify, lookahead_pairs, sliding_windows, one_hot_labels, batch_layout, next_event_prob, probability_column, matrix_shape,
-        probability_deltas, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_groups_merged, link_contents, link_span, link_similarity,
+        probability_deltas, network_probabilities, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_groups_merged, link_contents, link_span, link_similarity,
         cluster_links, canonical_forms, match_previous_types, rename_types, update_dataset, compress_sequence, split_sequence, holdout_split, activity_pipeline,
         two_layer_pipeline,
     )

@@ -23,7 +23,8 @@ class Params:
     test_share: float = 0.1
     valid_share: float = 0.2
     merged_groups: bool = False
-    score_source: str = "prob"  # or "delta"
+    estimator: str = "counts"  # or "network"
+    score_source: str = "prob"  # or "delta", of counts
     sample: float | None = None
     seed: int = 42
     embedding: float = 120.0
@@ -31,5 +32,6 @@ class Params:
     network_layers: int = 4
     network_layers_step: int = 0
     epochs: float = 16.0
+    epoch_increment: float = 0.0
     most_epoch_growth: float = 2.0
     most_epochs: float | None = None

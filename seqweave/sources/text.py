@@ -90,6 +90,11 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     write_sequence(vocab.select(F.lit(0).cast("long").alias("seq_id"), F.col("token_id").alias("pos"), "token"), path)
 
 
+def write_thresholds(thresholds: DataFrame, path: str) -> None:
+    """``token_id, threshold`` as numbers in the order of ids."""
+    write_sequence(thresholds.select(F.lit(0).cast("long").alias("seq_id"), F.col("token_id").alias("pos"), F.col("threshold").cast("string").alias("token")), path)
+
+
 def write_matrix(rows: DataFrame, path: str) -> None:
     """``pos, p`` as one line of numbers per row."""
     _ordered_lines(rows, ["pos"], F.concat_ws(" ", F.col("p").cast("array<string>")), path)

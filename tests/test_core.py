@@ -303,3 +303,65 @@ def test_text_formats(spark, tmp_path):
     text.write_matrix(m, d + "/m2")
     assert rows(text.read_matrix(spark, d + "/m2", 2)) == rows(m)
     assert spark.createDataFrame([], TYPE_FORMS).count() == 0
+
+
+def test_network_learns_a_cycle(spark, tmp_path):
+    from seqweave.operators import network
+
+    s = seq_of(spark, list("abcd") * 30)
+    vocab = sequence.vocabulary(s)
+    net = network.NetworkEstimator(2, 3, epochs="auto").fit(s, vocab)
+    scored = network.scores(net.transform(s, vocab), vocab)
+    best = {(r.pos, r.k): r.t for r in scored.groupBy("pos", "k").agg(F.max_by("token", "p").alias("t")).collect()}
+    assert len(best) == 2 * 118
+    right = sum(t == "abcd"[(pos + k) % 4] for (pos, k), t in best.items())
+    assert right / len(best) >= 0.8
+    total = scored.groupBy("pos", "k").agg(F.sum("p").alias("p")).agg(F.min("p"), F.max("p")).first()
+    assert total[0] == pytest.approx(1) and total[1] == pytest.approx(1)
+    net.save(str(tmp_path / "net"))
+    again = network.NetworkModel.load(str(tmp_path / "net"), [1, 2], 3, 4)
+    assert again.transform(s, vocab).count() == net.transform(s, vocab).count()
+    assert network.NetworkEstimator(1, 200).fit(s, vocab).transform(s, vocab).count() == 0
+    assert network.hidden_layers(120, 2) == [24, 24] and network.hidden_layers(50, 1) == [20]
+    assert network.stop([0.1, 0.85]) and network.stop([0.5, 0.5, 0.5]) and not network.stop([0.5, 0.6, 0.5])
+    edges, _, thr = pipeline.find_edges(s, Params(lookahead=2, window=3, estimator="network", network_layers=1, epochs=60))
+    assert thr.count() == 4 and edges.where("two - one = k").count() == edges.count() > 0
+
+
+def test_preloaded_matrices(spark, tmp_path):
+    from seqweave.operators import network
+
+    spark.range(6).select((F.col("id") % 2 + 1).cast("int").alias("k"), "id").write.parquet(str(tmp_path / "m"))
+    a = network.preload(spark, str(tmp_path / "m"), 1)
+    assert a is network.preload(spark, str(tmp_path / "m"), 1) and a.count() == 3
+    network.unload()
+    assert a is not network.preload(spark, str(tmp_path / "m"), 1)
+    network.unload()
+
+
+def test_thresholds_as_text(spark, tmp_path):
+    t = spark.createDataFrame([(0, 0.5), (1, 0.25)], "token_id long, threshold double")
+    text.write_thresholds(t, str(tmp_path / "t"))
+    assert rows(text.read_thresholds(spark, str(tmp_path / "t"))) == rows(t)
+
+
+def test_concatenation_per_sequence(spark):
+    a, b = seq_of(spark, "ab", 1), seq_of(spark, "c", 1).unionByName(seq_of(spark, "d", 2))
+    assert rows(sequence.concatenated(a, b)) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d")]
+
+
+def test_sql_agrees_on_the_smallest_tables(spark, small):
+    import duckdb
+
+    from seqweave.plans import oracle, queries
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("events", "ptb", "linkset", "link_types", "type_forms", "edges"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    for name in ("token_sequence", "thresholds", "link_edges", "link_groups", "compress_sequence", "match_previous_types", "rename_types", "link_similarity"):
+        df = queries.queries()[name](spark, small)
+        r = con.sql(oracle.oracle_sql()[name])
+        order = [list(r.columns).index(c) for c in df.columns]
+        want = sorted((str(tuple(round(v, 6) if isinstance(v, float) else v for v in (row[i] for i in order))) for row in r.fetchall()))
+        assert sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in row)) for row in df.collect()) == want, name
