@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.naming import event_name
@@ -46,3 +46,8 @@ def link_names(spark: SparkSession, folder: str) -> Written:
     return write_table(rows.distinct(), "link-names")
 
 
+
+
+def digest(names: Column) -> Column:
+    """128 bits that stand for an array of names: equal arrays have equal digests, and no others are expected to."""
+    return F.unhex(F.md5(F.concat_ws("\n", names)))

@@ -8,11 +8,13 @@ sets are united and filtered by the similarity itself.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.llm.events import digest
 from seqweave.session import write_table
 
 SMALL = 6
@@ -23,10 +25,14 @@ def need(x: int, y: int, num: int, den: int) -> int:
     return -(-num * (x + y) // (num + den))
 
 
-def _classes(rows: DataFrame, key: str) -> DataFrame:
-    """Records with equal sets become one class: ``members`` (their keys), ``names`` (sorted by bytes)."""
-    sets = rows.groupBy(key).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    return sets.groupBy("names").agg(F.min(key).alias("class"), F.count("*").alias("copies"))
+def _sets(rows: DataFrame) -> DataFrame:
+    """``key, names, digest``: each record's set, sorted by bytes."""
+    return rows.groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("names")).withColumn("digest", digest(F.col("names")))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """Records with equal sets become one class: ``digest, names, class`` (their smallest key)."""
+    return sets.groupBy("digest").agg(F.min("key").alias("class"), F.first("names").alias("names"))
 
 
 def _subset_patterns(small: int, num: int, den: int) -> dict[int, list[list[int]]]:
@@ -61,18 +67,29 @@ def _prefixes(classes: DataFrame, rarity: DataFrame, num: int, den: int) -> Data
     return ordered.select("class", "size", F.explode(F.slice(F.col("o.name"), F.lit(1), length)).alias("name"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5, small: int = SMALL) -> DataFrame:
+@dataclass
+class Similar:
+    """``pairs`` of classes (``left_class, right_class, shared, similarity``) and the records of either side's classes (``class, key``)."""
+
+    pairs: DataFrame
+    left: DataFrame
+    right: DataFrame
+
+
+def similar_sets(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5, small: int = SMALL) -> Similar:
     """All pairs of a left and a right record whose sets have a Jaccard similarity of at least ``num / den``.
 
-    Both inputs have distinct ``key, name``; a record without names isn't there and in no pair. Gives ``left_class,
-    right_class, shared, similarity``; :func:`expand` goes back to the records. Equal sets are joined once for all
-    their copies, and a set that is too large for the largest set of the other side is dropped first, both exact.
+    Both inputs have distinct ``key, name``; a record without names isn't there and in no pair. Equal sets are joined once
+    for all their copies, and a set that is too large for the largest set of the other side is dropped before it is
+    gathered, both exact.
     """
     bound = right.groupBy("key").count().agg(F.max("count").alias("most")).first().most or 0
     sizes = left.groupBy("key").agg(F.count("*").alias("size"))
-    fit = sizes.where(F.col("size") * num <= bound * den).select("key")
-    l_classes = write_table(_classes(left.join(fit, "key", "left_semi"), "key"), "left-sets")
-    r_classes = write_table(_classes(right, "key"), "right-sets")
+    large = write_table(sizes.where(F.col("size") * num > bound * den).select("key"), "large").df
+    if not large.isEmpty():
+        left = left.join(large, "key", "left_anti")
+    l_sets, r_sets = write_table(_sets(left), "left-sets").df, write_table(_sets(right), "right-sets").df
+    l_classes, r_classes = write_table(_classes(l_sets), "left-classes"), write_table(_classes(r_sets), "right-classes")
     rarity = r_classes.df.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     by_subset = (
         _subsets(l_classes.df, small, num, den).withColumnRenamed("class", "left_class")
@@ -91,18 +108,14 @@ def similar_sets(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5,
     b = r_classes.df.select(F.col("class").alias("right_class"), F.col("names").alias("ys"))
     shared = F.size(F.array_intersect("xs", "ys"))
     union = F.size("xs") + F.size("ys") - F.col("shared")
-    return (
+    pairs = (
         candidates.join(a, "left_class").join(b, "right_class")
         .withColumn("shared", shared)
         .where(F.col("shared") * den >= union * num)
         .select("left_class", "right_class", "shared", (F.col("shared") / union).alias("similarity"))
-    ), l_classes, r_classes
-
-
-def expand(classes: DataFrame, records: DataFrame, key: str, to: str) -> DataFrame:
-    """``class, to``: the records of each class, matched by their sets."""
-    sets = records.groupBy(key).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    return sets.join(classes.select("names", "class"), "names").select("class", F.col(key).alias(to))
+    )
+    members = [x.select("digest", "key").join(c.df.select("digest", "class"), "digest").select("class", "key") for x, c in ((l_sets, l_classes), (r_sets, r_classes))]
+    return Similar(pairs, *members)
 
 
 def links_and_types(link_names: DataFrame, form_names: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def links_and_types(link_names: DataFrame, form_names: DataFrame) -> DataFrame:
     ``link_names`` has distinct ``link_id, name``, ``form_names`` distinct ``type_name, name``.
     """
     l, r = link_names.select(F.col("link_id").alias("key"), "name"), form_names.select(F.col("type_name").alias("key"), "name")
-    pairs, l_classes, r_classes = similar_sets(l, r)
-    links = expand(l_classes.df, l, "key", "link_id").withColumnRenamed("class", "left_class")
-    types = expand(r_classes.df, r, "key", "type_name").withColumnRenamed("class", "right_class")
-    return pairs.join(types, "right_class").join(links, "left_class").select("link_id", "type_name", "similarity")
+    found = similar_sets(l, r)
+    links = found.left.select(F.col("class").alias("left_class"), F.col("key").alias("link_id"))
+    types = found.right.select(F.col("class").alias("right_class"), F.col("key").alias("type_name"))
+    return found.pairs.join(types, "right_class").join(links, "left_class").select("link_id", "type_name", "similarity")
