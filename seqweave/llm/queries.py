@@ -45,7 +45,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return cooccurrence.pairs_of_names(events.link_names(spark, folder).df)
+    rated = cooccurrence.pairs_of_names(events.link_names(spark, folder).df)
+    return rated.withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,12 +98,13 @@ def _name(token: str) -> str:
     return f"CASE WHEN regexp_matches({token}, '{_SPELLING}') THEN upper(regexp_extract({token}, '{_SPELLING}', 1)) || '_' || CAST(CAST(regexp_extract({token}, '{_SPELLING}', 2) AS BIGINT) AS VARCHAR) END"
 
 
-_EVENTS = f"ev AS (SELECT seq_id, pos, max({_name('token')}) AS name, arg_min(ts, arrived_at) AS ts FROM ptb GROUP BY seq_id, pos)"
+_EVENTS = f"""ev AS (SELECT seq_id, pos, name, ts FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, pos ORDER BY name IS NULL, arrived_at, ts NULLS FIRST) AS r
+FROM (SELECT seq_id, pos, ts, arrived_at, {_name('token')} AS name FROM ptb)) WHERE r = 1)"""
 _LINKS = "ln AS (SELECT DISTINCT l.link_id, e.name FROM linkset l JOIN ev e ON e.seq_id = l.seq_id AND e.pos = l.pos WHERE e.name IS NOT NULL)"
 _RUNS = f"""WITH {_EVENTS},
 marked AS (SELECT *, CASE WHEN name IS NOT NULL AND name = lag(name) OVER (PARTITION BY seq_id ORDER BY pos) THEN 0 ELSE 1 END AS starts FROM ev),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM marked),
-found AS (SELECT seq_id, name, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events FROM numbered WHERE name IS NOT NULL GROUP BY seq_id, name, run HAVING count(*) >= 2)
+found AS (SELECT seq_id, name, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM numbered WHERE name IS NOT NULL GROUP BY seq_id, name, run HAVING count(*) >= 2)
 """
 _COUNTS = f"""WITH {_EVENTS},
 c AS (SELECT name, count(*) AS n_events, count(DISTINCT seq_id) AS n_sequences FROM ev WHERE name IS NOT NULL GROUP BY name),
@@ -125,6 +127,9 @@ s AS (SELECT link_id, type_name, count(*) AS shared FROM ln JOIN fn USING (name)
     pair = "FROM two JOIN one a ON a.name = token_a JOIN one b ON b.name = token_b, n WHERE n_ab >= 5 AND n_ab * 1000 >= n.n AND n_ab * n.n >= 4 * a.n * b.n"
     return {
         "p1_found": _RUNS + "SELECT seq_id, first_pos, last_pos FROM found",
+        "p1_runs": _RUNS + "SELECT seq_id, name, first_pos, last_pos, n_events, duration_s FROM found",
+        "p4_pairs": _PAIRS + f"SELECT token_a, token_b, a.n AS n_a, b.n AS n_b, n_ab, round(CAST(n_ab * n.n AS DOUBLE) / (a.n * b.n), 9) AS lift, round(log2(CAST(n_ab * n.n AS DOUBLE) / (a.n * b.n)), 9) AS pmi {pair}",
+        "p5_pairs": overlap_sql + "SELECT link_id, type_name, CAST(shared AS DOUBLE) / (x + y - shared) AS similarity FROM s JOIN x USING (link_id) JOIN y USING (type_name) WHERE 5 * shared >= 3 * (x + y - shared)",
         "p3_found": _COUNTS + "SELECT token, mark FROM found WHERE mark IS NOT NULL",
         "p3_counts": _COUNTS + "SELECT token, n_events, n_sequences, mark FROM found",
         "p4_found": _PAIRS + f"SELECT token_a, token_b {pair}",
