@@ -41,10 +41,15 @@ def concatenated(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(values: DataFrame, order: str) -> DataFrame:
+    """``value, number``: distinct non-null values numbered from 0 in ``order`` (of one column ``value``), by many tasks."""
+    each = values.where("value is not null").distinct().select(F.lit(0).alias("seq_id"), "value", F.expr(order).alias("at"))
+    return token_sequence(each, "seq_id", ["at"], "value").select(F.col("token").alias("value"), F.col("pos").alias("number"))
+
+
 def vocabulary(sequence: DataFrame) -> DataFrame:
     """``token, token_id``: distinct tokens numbered from 0 in byte order (the same in every run)."""
-    # Distinct tokens only: the rows of the one window are the vocabulary, not the data.
-    return sequence.select("token").distinct().select("token", (F.row_number().over(Window.orderBy("token")) - 1).cast("long").alias("token_id"))
+    return numbered(sequence.select(F.col("token").alias("value")), "value").select(F.col("value").alias("token"), F.col("number").alias("token_id"))
 
 
 def numberify(sequence: DataFrame, vocab: DataFrame) -> DataFrame:

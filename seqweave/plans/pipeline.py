@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.operators import links, model, rewrite, sequence, types
@@ -69,8 +69,7 @@ def cluster_and_rewrite(seq: DataFrame, linkset: DataFrame, previous_forms: Data
     named = write_table(clusters.select("link_id", F.col("cluster_id").cast("string").alias("type_name")), "types").df
     forms = types.canonical_forms(contents, named, params.threshold)
     if previous_forms is not None:
-        order = F.row_number().over(Window.orderBy("type_name"))  # one row per type
-        matches = write_table(types.match_previous(forms, previous_forms.withColumn("ord", order), params.threshold), "matches").df
+        matches = write_table(types.match_previous(forms, previous_forms.withColumn("ord", F.col("type_name")), params.threshold), "matches").df
         forms = types.forms_after_match(forms, matches)
         named = types.renamed_by_match(named, matches)
     names = write_table(types.new_names(named, types.newest_event(seq)), "names").df

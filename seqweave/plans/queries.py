@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.naming import event_name
@@ -177,7 +177,7 @@ def canonical_forms(spark, d):
 def _previous(spark, d):
     each = table(spark, d, "type_forms").where("type_name is not null").select("type_name", F.explode("tokens").alias("t"))
     sets = each.select("type_name", event_name(F.col("t")).alias("t")).where("t is not null").groupBy("type_name").agg(F.sort_array(F.collect_set("t")).alias("tokens"))
-    return sets.withColumn("ord", F.row_number().over(Window.orderBy("type_name")))  # one row per type
+    return sets.withColumn("ord", F.col("type_name"))
 
 
 def match_previous_types(spark, d):
