@@ -169,7 +169,9 @@ def planted(rnd, n=12, size=9):
     return sets, of
 
 
-def test_clusters(spark):
+@pytest.mark.parametrize("tail", [0, 250_000])
+def test_clusters(spark, monkeypatch, tail):
+    monkeypatch.setattr(clusters, "TAIL", tail)
     sets, of = planted(random.Random(7))
     df = names_df(spark, sets).withColumn("n", F.lit(0))
     found, persistence = clusters.similar_groups(df.select("link_id", "name"))
@@ -217,9 +219,28 @@ def test_neighbour_graph_recall(spark):
     assert hit / want >= 0.9
 
 
-def test_forest_is_minimal(spark):
+def chosen_of(edges, d, band):
+    """Weights of a minimum spanning forest in which edges beyond the band weigh 9."""
+    p, out = list(range(60)), []
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for w, a, b in sorted((w if w <= band else 9, *e) for e, w in zip(edges, d)):
+        if find(a) != find(b):
+            p[find(a)] = find(b)
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("tail", [0, 40, 10**6])
+def test_forest_is_minimal(spark, monkeypatch, tail):
     import numpy as np
 
+    monkeypatch.setattr(clusters, "TAIL", tail)
+
     rnd = random.Random(9)
     edges = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(300)})
     d = [rnd.choice([0.1, 0.3, 0.5, 0.52, 0.58, 0.65]) for _ in edges]
@@ -245,6 +266,11 @@ def test_forest_is_minimal(spark):
     maps, trees = clusters.forest(spark.createDataFrame([(*e, w) for e, w in zip(edges, d)], "a long, b long, d double"))
     all_ = [r for t in trees for r in t.collect()]
     assert (len(all_), round(sum(r.d for r in all_), 6)) == kruskal(d)
+    part = list(range(60))  # the maps lead to the components of the bands
+    for i, (m, band) in enumerate(zip(maps, clusters.BANDS)):
+        to = {r.c: r.p for r in m.collect()} if m is not None else {}
+        part = [to.get(c, c) for c in part]
+        assert len(set(part)) == 60 - kruskal([w if w <= band else 9 for w in d])[0] + sum(w == 9 for w in chosen_of(edges, d, band))
 
 
 def test_mutual_reachability(spark):
