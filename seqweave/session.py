@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -64,6 +65,12 @@ def write_table(df: DataFrame, label: str) -> Written:
     return Written(df.sparkSession, path, df.schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver notice that nothing refers to earlier shuffles any more, so that their files go before the query ends."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
