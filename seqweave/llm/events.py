@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions.naming import event_name
-from seqweave.session import Written, write_table
+from seqweave.session import Written, release, write_table
 from seqweave.sources.tables import table
 
 
@@ -43,7 +43,10 @@ def link_names(spark: SparkSession, folder: str) -> Written:
     at = table(spark, folder, "linkset").select("seq_id", "link_id", "pos").where("link_id is not null and seq_id is not null and pos is not null")
     events = named_events(table(spark, folder, "ptb"))
     rows = at.join(events, ["seq_id", "pos"]).select("link_id", "name")
-    return write_table(rows.distinct(), "link-names")
+    written = write_table(rows.distinct(), "link-names")
+    del at, events, rows
+    release(spark)
+    return written
 
 
 

@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.llm.events import digest
-from seqweave.session import write_table
+from seqweave.session import release, write_table
 
 SMALL = 6
+#: If the right side's distinct sets hold no more elements than this in all (about 20 MB), what is made of them is sent to
+#: every task and the left side isn't shuffled for these joins; beyond it both sides are shuffled.
+BROADCAST_ELEMENTS = 500_000
 
 
 def need(x: int, y: int, num: int, den: int) -> int:
@@ -90,16 +93,20 @@ def similar_sets(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5,
         left = left.join(large, "key", "left_anti")
     l_sets, r_sets = write_table(_sets(left), "left-sets").df, write_table(_sets(right), "right-sets").df
     l_classes, r_classes = write_table(_classes(l_sets), "left-classes"), write_table(_classes(r_sets), "right-classes")
+    release(l_sets.sparkSession)
+    elements = r_classes.df.agg(F.sum(F.size("names")).alias("n")).first().n or 0
+    sized = F.broadcast if elements <= BROADCAST_ELEMENTS else (lambda df: df)
     rarity = r_classes.df.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     by_subset = (
         _subsets(l_classes.df, small, num, den).withColumnRenamed("class", "left_class")
-        .join(_subsets(r_classes.df, small, num, den).withColumnRenamed("class", "right_class"), "key")
+        .join(sized(_subsets(r_classes.df, small, num, den).withColumnRenamed("class", "right_class")), "key")
         .select("left_class", "right_class")
     )
+    rarity = sized(rarity)
     lp = _prefixes(l_classes.df, rarity, num, den).select(F.col("class").alias("left_class"), F.col("size").alias("x"), "name")
     rp = _prefixes(r_classes.df, rarity, num, den).select(F.col("class").alias("right_class"), F.col("size").alias("y"), "name")
     by_list = (
-        lp.join(rp, "name")
+        lp.join(sized(rp), "name")
         .where((F.greatest("x", "y") > small) & (F.col("y") * den >= F.col("x") * num) & (F.col("x") * den >= F.col("y") * num))
         .select("left_class", "right_class")
     )
@@ -109,7 +116,7 @@ def similar_sets(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5,
     shared = F.size(F.array_intersect("xs", "ys"))
     union = F.size("xs") + F.size("ys") - F.col("shared")
     pairs = (
-        candidates.join(a, "left_class").join(b, "right_class")
+        candidates.join(sized(b), "right_class").join(a, "left_class")
         .withColumn("shared", shared)
         .where(F.col("shared") * den >= union * num)
         .select("left_class", "right_class", "shared", (F.col("shared") / union).alias("similarity"))
