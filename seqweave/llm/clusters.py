@@ -1,7 +1,7 @@
 """Problem 2: grouping records into similarity clusters.
 
 Hierarchical density clustering. Records with equal sets of names form one class. A neighbour graph joins classes whose
-sets are alike (sorted neighbourhoods on the rare names of each set), edge weights are mutual-reachability distances,
+sets are alike (all that share a rare name are compared), edge weights are mutual-reachability distances,
 and a distributed Borůvka minimum spanning forest is built band by band of distance: after each band the forest's trees
 are the clusters at that distance, so the condensed hierarchy comes out with the forest. The most stable clusters are
 selected from it, and the members that persist longest describe them.
@@ -12,9 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +24,18 @@ from seqweave.session import Written, partitions, ship, write_table
 #: beyond the last, sets share hardly more than a third of their names (half of each: 4 of 8 and 8), which happens by
 #: chance, and aren't neighbours.
 BANDS = (0.5, 0.56, 0.64)
-#: Neighbours of a class on either side in the sorted list of each of its rare names.
-WINDOW = 16
+#: Classes of a rare name's list that stay together; a longer list falls into blocks of about as many, compared two by two.
+BLOCK = 1024
+#: Long lists up to this many are sent to every task; more are joined by shuffle.
+BROADCAST_LISTS = 200_000
+#: Candidate pairs that a task looks at together.
+AT_ONCE = 1_000_000
 #: Edges that a task holds before it reduces them to its own spanning forest.
 HELD = 2_000_000
 #: Once the joined components have no more edges left than this, one task ends the band's forest (about 10 MB).
 TAIL = 250_000
 _EPS = 1e-9
-GRAPH = "edge boolean, at long, head boolean, key int, a long, b long, d double, codes array<int>"
-_SCHEMA = pa.schema([("edge", pa.bool_()), ("at", pa.int64()), ("head", pa.bool_()), ("key", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()), ("codes", pa.list_(pa.int32()))])
+GRAPH = "a long, b long, d double"
 
 
 def name_sets(link_names: DataFrame, least_names: int = 3) -> Written:
@@ -107,66 +108,86 @@ def _overlap(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(key: np.ndarray, ids: np.ndarray, m: np.ndarray, sizes: np.ndarray, farthest: float, since: int = 0):
-    """Alike rows at most WINDOW apart with the same key, the later one at ``since`` or after: arrays a < b and distance."""
-    got = []
-    for step in range(1, WINDOW + 1):
-        j = np.arange(max(step, since), len(key))
-        i = j - step
-        same = (key[i] == key[j]) & (ids[i] != ids[j])
-        i, j = i[same], j[same]
-        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        possible = 1 - small / large <= farthest + _EPS
+def _pairs(key: np.ndarray, ids: np.ndarray, m: np.ndarray, sizes: np.ndarray, farthest: float, at: np.ndarray | None = None, half: np.ndarray | None = None):
+    """All alike rows with the same key (its rows follow each other): arrays a < b and distance.
+
+    ``at`` is the place of the key's name in the row's set: a pair is looked at where the rest of both sets is long
+    enough, which it is at the first name they share. With ``half``, only rows of different halves are compared.
+    """
+    n = len(key)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(starts[1:], n)
+    later = np.repeat(ends, ends - starts) - np.arange(n) - 1
+    upto = np.concatenate([[0], np.cumsum(later)])
+    rest = sizes - (0 if at is None else at)
+    least = (1 - farthest) / (2 - farthest)
+    got, lo = [], 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + AT_ONCE, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), later[lo:hi])
+        j = i + 1 + np.arange(len(i)) - (upto[i] - upto[lo])
+        possible = (ids[i] != ids[j]) & (np.minimum(np.minimum(sizes[i], sizes[j]), np.minimum(rest[i], rest[j])) >= (sizes[i] + sizes[j]) * least - _EPS)
+        if half is not None:
+            possible &= half[i] != half[j]
         i, j = i[possible], j[possible]
         shared = _overlap(m, i, j)
         d = 1 - shared / (sizes[i] + sizes[j] - shared)
         near = d <= farthest + _EPS
         got.append((np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near], d[near]))
+        lo = hi
     return tuple(np.concatenate(x) for x in zip(*got))
 
 
 def _neighbours(farthest: float):
+    """Over ``key, p, q, mine, at, class, codes``, sorted by the first three: the forest of the pairs of each cell ``key, p, q``."""
+
+    def alike(t: pa.Table) -> list[tuple]:
+        p, q, mine, at, ids = (t.column(i).to_numpy() for i in range(1, 6))
+        cell = np.cumsum(_begins(t))
+        m, sizes = _codes(t.column(6).combine_chunks())
+        out = []
+        for rows, halves in ((np.flatnonzero(p == q), False), (np.flatnonzero(p != q), True)):
+            if len(rows):
+                out.append(_pairs(cell[rows], ids[rows], m[rows], sizes[rows], farthest, at[rows], mine[rows] if halves else None))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId()
         held: list[tuple] = []
         n_held = 0
         tail: pa.Table | None = None
-        first = True
-
-        def ends(rows: pa.Table, at: int, head: bool) -> pa.RecordBatch:
-            n = rows.num_rows
-            return pa.RecordBatch.from_arrays([
-                pa.array([False] * n), pa.array([at] * n, pa.int64()), pa.array([head] * n), rows.column(0).combine_chunks(), rows.column(1).combine_chunks(),
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), rows.column(2).combine_chunks().cast(pa.list_(pa.int32())),
-            ], schema=_SCHEMA)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            if first:
-                yield ends(t.slice(0, WINDOW), chunk - 1, True)
-                first = False
-            since = 0
             if tail is not None:
-                since = tail.num_rows
                 t = pa.concat_tables([tail, t])
-            key, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-            m, sizes = _codes(t.column(2).combine_chunks())
-            held.append(_pairs(key, ids, m, sizes, farthest, since))
-            n_held += len(held[-1][0])
+            last = int(np.flatnonzero(_begins(t))[-1])
+            tail = t.slice(last)
+            if last:
+                found = alike(t.slice(0, last))
+                held += found
+                n_held += sum(len(x[0]) for x in found)
             if n_held > HELD:
                 held = [_reduced(held)]
                 n_held = len(held[0][0])
-            tail = t.slice(max(0, t.num_rows - WINDOW))
-        if tail is None:
-            return
-        yield ends(tail, chunk, False)
-        yield from _edge_batches(_reduced(held))
+        if tail is not None:
+            yield from _edge_batches(_reduced(held + alike(tail)))
 
     return run
 
 
+def _begins(t: pa.Table) -> np.ndarray:
+    """Whether each row begins a cell."""
+    out = np.zeros(t.num_rows, bool)
+    out[0] = True
+    for i in range(3):
+        x = t.column(i).to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def _reduced(held: list[tuple]) -> tuple:
     a, b, d = (np.concatenate(x) for x in zip(*held))
     keep = local_forest(a, b, d)
@@ -175,43 +196,35 @@ def _reduced(held: list[tuple]) -> tuple:
 
 def _edge_batches(e: tuple) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(e[0]), 50_000):
-        a, b, d = (x[lo : lo + 50_000] for x in e)
-        n = len(a)
-        yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int32()), pa.array(a), pa.array(b), pa.array(d), pa.nulls(n, pa.list_(pa.int32()))], schema=_SCHEMA)
-
-
-def _across(farthest: float):
-    """Pairs over the border between two chunks: the end of one and the beginning of the next."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pd.concat([pdf[~pdf["head"].astype(bool)], pdf[pdf["head"].astype(bool)]])
-        since = int((~pdf["head"].astype(bool)).sum())
-        m, sizes = _codes(pa.array(pdf.codes.tolist(), pa.list_(pa.int32())))
-        a, b, d = _pairs(pdf.key.to_numpy(), pdf.a.to_numpy(), m, sizes, farthest, since) if len(pdf) else ([], [], [])
-        return pd.DataFrame({"a": a, "b": b, "d": d}).astype({"a": "int64", "b": "int64", "d": "float64"})
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in e], names=["a", "b", "d"])
 
 
 def neighbour_graph(classes: DataFrame, farthest: float = BANDS[-1]) -> DataFrame:
     """``a, b, d``: edges between alike classes (``class, names``, rarest name first).
 
     Two sets within ``farthest`` share at least one of the rarest names that make up this share of either, so each
-    class is listed under those names. The lists are range-sorted by name and set (a long list spreads over tasks) and
-    every class is compared with its WINDOW neighbours on either side. A list of up to WINDOW + 1 classes is thus
-    compared in full; on longer ones alike sets stand near each other, as the sort goes by the rarest names. Each task
-    keeps only the spanning forest of its own edges (an edge outside it can't be in the whole forest).
+    class is listed under those names, and every two classes of a list are compared, however long it is: a list of more
+    than BLOCK classes falls into blocks, and each two blocks of it are a cell of their own. Each task keeps only the
+    spanning forest of its cells' edges (an edge outside it can't be in the whole forest).
     """
     spark = classes.sparkSession
     ship(spark)
     length = F.size("names") - F.ceil(F.size("names") * (1 - farthest) - _EPS).cast("int") + 1
     codes = F.transform("names", lambda n: F.hash(n))
-    listed = classes.select("class", codes.alias("codes"), length.alias("length")).select(F.explode(F.slice("codes", F.lit(1), F.col("length"))).alias("key"), "class", "codes")
-    ranged = listed.repartitionByRange(partitions(spark), "key", "codes", "class").sortWithinPartitions("key", "codes", "class")
-    found = write_table(ranged.mapInArrow(_neighbours(farthest), GRAPH), "graph").df
-    inside = found.where("edge").select("a", "b", "d")
-    across = found.where("not edge").groupBy("at").applyInPandas(_across(farthest), "a long, b long, d double")
-    return inside.unionByName(across)
+    listed = classes.select("class", codes.alias("codes"), length.alias("length")).select(F.posexplode(F.slice("codes", F.lit(1), F.col("length"))).alias("at", "key"), "class", "codes")
+    long = write_table(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long").df
+    n_long = long.count()
+    order = ["key", "p", "q", "mine", "at", "class", "codes"]
+    none = F.lit(0)
+    if not n_long:
+        cells = listed.select("key", none.alias("p"), none.alias("q"), none.alias("mine"), "at", "class", "codes")
+    else:
+        sized = F.broadcast(long) if n_long <= BROADCAST_LISTS else long
+        blocks = listed.join(sized, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        each = blocks.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+        cells = each.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).select(*order)
+    together = cells.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return write_table(together.mapInArrow(_neighbours(farthest), GRAPH), "graph").df
 
 
 def mutual_reachability(edges: DataFrame, neighbours: int = 1) -> DataFrame:

@@ -220,6 +220,43 @@ def test_neighbour_graph_recall(spark):
     assert hit / want >= 0.9
 
 
+@pytest.mark.parametrize("block", [1024, 70])
+def test_neighbour_graph_is_whole_on_long_lists(spark, monkeypatch, block):
+    """Alike sets far apart in a popular name's list, as a stray rare name per link scatters them, are all joined."""
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    monkeypatch.setattr(clusters, "AT_ONCE", 5000)
+    rnd = random.Random(11)
+    sets = {}
+    for c in range(60):
+        own = [f"O{c}_{j}" for j in range(2)] + rnd.sample([f"P_{j}" for j in range(9)], 6)
+        for _ in range(5):
+            sets[len(sets)] = tuple(sorted(set(own) | {f"R_{len(sets)}"}, key=lambda x: ("ROP".index(x[0]), x)))
+    df = spark.createDataFrame(list(sets.items()), "class long, names array<string>")
+    got = [tuple(r) for r in clusters.neighbour_graph(df).collect()]
+    of = {i: set(s) for i, s in sets.items()}
+    pairs = {(a, b): 1 - jaccard(of[a], of[b]) for a, b in combinations(of, 2) if jaccard(of[a], of[b]) >= 0.36}
+    assert all(abs(pairs[a, b] - d) < 1e-9 for a, b, d in got)
+
+    def parts(edges):
+        p = list(of)
+        for a, b in edges:
+            x, y = p[a], p[b]
+            p = [x if v == y else v for v in p]
+        return len(set(p))
+
+    for far in sorted({round(d, 9) for d in pairs.values()}):
+        assert parts([(a, b) for a, b, d in got if d <= far + 1e-9]) == parts([e for e, d in pairs.items() if d <= far + 1e-9])
+
+
+def test_all_pairs_of_a_list_are_compared():
+    import numpy as np
+
+    n = 3000  # every set shares the popular name 1; twins also share all of 3 to 5 and stand n / 2 apart
+    m = np.array([[1, 10 + 3 * (i % (n // 2)), 11 + 3 * (i % (n // 2)), 12 + 3 * (i % (n // 2)), 10**6 + i] for i in range(n)], np.int64)
+    a, b, d = clusters._pairs(np.zeros(n, np.int64), np.arange(n), m, np.full(n, 5), 0.64)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(i, i + n // 2) for i in range(n // 2)] and np.allclose(d, 1 / 3)
+
+
 def chosen_of(edges, d, band):
     """Weights of a minimum spanning forest in which edges beyond the band weigh 9."""
     p, out = list(range(60)), []
