@@ -23,7 +23,9 @@ from seqweave.session import Written, partitions, ship, write_table
 #: Distances (1 - Jaccard similarity) at which the hierarchy is cut. Below the first, clusters aren't split further;
 #: beyond the last, sets share hardly more than a third of their names (half of each: 4 of 8 and 8), which happens by
 #: chance, and aren't neighbours.
-BANDS = (0.5, 0.56, 0.64)
+BANDS = (0.5, 0.55, 0.6, 0.64)
+#: Up to here the clusters of the last band last: sets that share half of each, as they do by chance.
+CHANCE = 2 / 3
 #: Classes of a rare name's list that stay together; a longer list falls into blocks of about as many, compared two by two.
 BLOCK = 1024
 #: Long lists up to this many are sent to every task; more are joined by shuffle.
@@ -337,10 +339,10 @@ def select_clusters(classes: DataFrame, maps: list[DataFrame | None], bands: tup
 
     A component of one band that holds exactly one cluster of the band below continues it; one that holds several starts
     a new cluster, which competes with them. Stability is the records times the span of 1 / distance over which the
-    cluster lasts. A cluster is kept if it is at least as stable as what its best parts make together.
+    cluster lasts, those of the last band up to CHANCE. A cluster is kept if it is at least as stable as what its best parts make together.
     """
     levels = len(bands)
-    lam = [1 / b for b in bands]
+    lam = [1 / b for b in (*bands, CHANCE)]
     at = classes.select("class", "copies", F.col("class").alias("c"))
     names = []
     for i, m in enumerate(maps):
@@ -354,7 +356,7 @@ def select_clusters(classes: DataFrame, maps: list[DataFrame | None], bands: tup
     below: DataFrame | None = None
     tables = []
     for i in range(levels):
-        step = lam[i] - lam[i + 1] if i + 1 < levels else 0.0
+        step = lam[i] - lam[i + 1]
         size = at.groupBy(f"c{i}").agg(F.sum("copies").alias("n"))
         if below is None:
             node = size.select(F.col(f"c{i}").alias("c"), "n", F.lit(0).alias("k"), F.lit(0.0).alias("chain"), F.lit(0.0).alias("sub"))

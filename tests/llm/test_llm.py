@@ -311,6 +311,31 @@ def test_forest_is_minimal(spark, monkeypatch, tail):
         assert len(set(part)) == 60 - kruskal([w if w <= band else 9 for w in d])[0] + sum(w == 9 for w in chosen_of(edges, d, band))
 
 
+@pytest.mark.parametrize("n, joins, want", [
+    # two pairs that are formed at 0.5 last longer than their union at 0.6
+    (4, [[{0, 1}, {2, 3}], [], [{0, 1, 2, 3}], []], [{0, 1}, {2, 3}]),
+    # formed at 0.55, they don't
+    (4, [[], [{0, 1}, {2, 3}], [{0, 1, 2, 3}], []], [{0, 1, 2, 3}]),
+    # nor do they where the union at 0.55 goes on; where it soon merges again, they do, unless it has more links
+    (4, [[{0, 1}, {2, 3}], [{0, 1, 2, 3}], [], []], [{0, 1, 2, 3}]),
+    (6, [[{0, 1}, {2, 3}], [{0, 1, 2, 3}, {4, 5}], [set(range(6))], []], [{0, 1}, {2, 3}, {4, 5}]),
+    (8, [[{0, 1}, {2, 3}, {6, 7}], [{0, 1, 2, 3, 4, 5}], [set(range(8))], []], [set(range(6)), {6, 7}]),
+    # a union of the last band is kept if many links come with it only
+    (4, [[], [], [{0, 1}, {2, 3}], [{0, 1, 2, 3}]], [{0, 1}, {2, 3}]),
+    (8, [[], [], [{0, 1}, {2, 3}], [set(range(8))]], [set(range(8))]),
+])
+def test_selection_depends_on_the_data(spark, n, joins, want):
+    maps, at = [], list(range(n))
+    for groups in joins:
+        to = {at[x]: min(at[y] for y in g) for g in groups for x in g}
+        maps.append(spark.createDataFrame(sorted(to.items()), "c long, p long") if to else None)
+        at = [to.get(c, c) for c in at]
+    got = {}
+    for r in clusters.select_clusters(spark.createDataFrame([(i, 1) for i in range(n)], "class long, copies long"), maps).collect():
+        got.setdefault(r.cluster, set()).add(r["class"])
+    assert sorted(got.values(), key=min) == want
+
+
 def test_mutual_reachability(spark):
     e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.3), (1, 3, 0.6)], "a long, b long, d double")
     assert clusters.mutual_reachability(e) is e
