@@ -1,7 +1,7 @@
 """Problem 2: grouping records into similarity clusters.
 
 Hierarchical density clustering. Records with equal sets of names form one class. A neighbour graph joins classes whose
-sets are alike (all that share a rare name are compared), edge weights are mutual-reachability distances,
+sets are alike (all that share a rare name are compared), edges weigh their distances (single linkage),
 and a distributed Borůvka minimum spanning forest is built band by band of distance: after each band the forest's trees
 are the clusters at that distance, so the condensed hierarchy comes out with the forest. The most stable clusters are
 selected from it, and the members that persist longest describe them.
@@ -233,7 +233,8 @@ def mutual_reachability(edges: DataFrame, neighbours: int = 1) -> DataFrame:
     """Raises each distance to the core distances of both ends: the distance of their ``neighbours``-th neighbour.
 
     With one neighbour, the default, no edge is shorter than its ends' core distances, so nothing changes and nothing is
-    computed. An end with fewer neighbours has the distance of its last one.
+    computed: single linkage. More neighbours need all edges of the graph, not the forests of :func:`neighbour_graph`.
+    An end with fewer neighbours has the distance of its last one.
     """
     if neighbours == 1:
         return edges
