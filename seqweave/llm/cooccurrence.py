@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqweave.session import write_table
 
-#: Frequent items up to this many are sent to every task (about 16 MB); more are joined by shuffle.
+#: Frequent items up to this many are sent to every task (about 16 MB); more are joined by shuffle, before pairing.
 BROADCAST_ITEMS = 200_000
 #: A basket with more frequent items than this is paired in blocks of about as many, so that no task builds a huge
 #: basket's pairs from one row.
@@ -46,16 +46,18 @@ def frequent_pairs(baskets: DataFrame, n_baskets: int, least: int, least_lift: f
     counts = write_table(counts, "frequent").df
     n_items = counts.count()
     small = n_items <= BROADCAST_ITEMS
-    sized = F.broadcast if small else (lambda x: x)
-    kept = baskets.join(sized(counts.select("item")), "item")
+    kept = baskets.join(F.broadcast(counts.select("item")), "item") if small else baskets.join(counts, "item").select("basket", F.struct("item", "n").alias("item"))
     huge = write_table(kept.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("basket"), "huge").df
     if huge.isEmpty():
         pairs = _pairs_at_once(kept)
     else:
         pairs = _pairs_at_once(kept.join(huge, "basket", "left_anti")).unionByName(_pairs_by_block(kept.join(huge, "basket", "left_semi"), -(-n_items // BLOCK)))
     n_ab = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
-    a, b = (counts.select(F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    rated = n_ab.join(sized(a), "item_a").join(sized(b), "item_b")
+    if small:
+        a, b = (F.broadcast(counts.select(F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"))) for s in "ab")
+        rated = n_ab.join(a, "item_a").join(b, "item_b")
+    else:  # the items went into the pairs with their counts
+        rated = n_ab.select("item_a.item", F.col("item_b.item").alias("item_b"), F.col("item_a.n").alias("n_a"), F.col("item_b.n").alias("n_b"), "n_ab").withColumnRenamed("item", "item_a")
     ratio = F.col("n_ab") * F.lit(n_baskets) / (F.col("n_a") * F.col("n_b"))
     return (
         rated.where(F.col("n_ab") * F.lit(n_baskets) >= least_lift * (F.col("n_a") * F.col("n_b")))
@@ -63,12 +65,14 @@ def frequent_pairs(baskets: DataFrame, n_baskets: int, least: int, least_lift: f
     )
 
 
-def pairs_of_names(link_names: DataFrame, least: int = 5, one_in: int = 1000, least_lift: float = 4.0) -> DataFrame:
+def pairs_of_names(link_names: DataFrame, least: int = 5, one_in: int | None = 1000, least_lift: float = 4.0) -> DataFrame:
     """Problem 4 for links: ``token_a, token_b, n_a, n_b, n_ab, lift, pmi``.
 
-    ``link_names`` has distinct ``link_id, name``; a pair needs ``least`` links and one in ``one_in`` of all. No links give no rows; nulls were dropped with the names.
+    ``link_names`` has distinct ``link_id, name``; a pair needs ``least`` links and one in ``one_in`` of all (None: no share of
+    all; with ``least=1, least_lift=0`` that gives every pair that occurs together). No links give no rows; nulls were dropped with the names.
     """
     n = link_names.select("link_id").distinct().count()
-    least = max(least, -(-n // one_in))
+    if one_in is not None:
+        least = max(least, -(-n // one_in))
     found = frequent_pairs(link_names.select(F.col("link_id").alias("basket"), F.col("name").alias("item")), n, least, least_lift)
     return found.withColumnsRenamed({"item_a": "token_a", "item_b": "token_b"})

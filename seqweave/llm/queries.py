@@ -49,6 +49,12 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rated.withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
 
 
+def p4_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of names that occur together, however seldom; ``p4_pairs`` has those of ``p4_found`` only."""
+    rated = cooccurrence.pairs_of_names(events.link_names(spark, folder).df, least=1, one_in=None, least_lift=0)
+    return rated.withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pairs(spark, folder).select("token_a", "token_b")
 
@@ -87,7 +93,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (p1_found, p1_runs, p2_found, p2_clusters, p3_found, p3_counts, p4_found, p4_pairs, p5_found, p5_pairs, p6_found, p7_ids, p8_mix, p8_report, p9_found, p9_forms)
+    all_ = (p1_found, p1_runs, p2_found, p2_clusters, p3_found, p3_counts, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_pairs, p6_found, p7_ids, p8_mix, p8_report, p9_found, p9_forms)
     return {f.__name__: f for f in all_}
 
 

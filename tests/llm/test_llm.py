@@ -108,6 +108,23 @@ def test_cooccurrence(spark, monkeypatch):
     assert cooccurrence.pairs_of_names(names_df(spark, sets).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("items, block", [(200_000, 1024), (0, 1024), (0, 3)])
+def test_all_pairs_that_occur_together(spark, small, monkeypatch, items, block):
+    import duckdb
+
+    monkeypatch.setattr(cooccurrence, "BROADCAST_ITEMS", items)
+    monkeypatch.setattr(cooccurrence, "BLOCK", block)
+    con = duckdb.connect()
+    for t in ("ptb", "linkset"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    every = con.sql(queries._PAIRS + "SELECT token_a, token_b, a.n, b.n, n_ab, round(CAST(n_ab * n.n AS DOUBLE) / (a.n * b.n), 6) FROM two JOIN one a ON a.name = token_a JOIN one b ON b.name = token_b, n").fetchall()
+    got = [(r.token_a, r.token_b, r.n_a, r.n_b, r.n_ab, round(r.lift, 6)) for r in queries.queries()["p4_all_pairs"](spark, small).collect()]
+    key = lambda r: r[:5]
+    assert sorted(map(key, got)) == sorted(map(key, every)) and any(r[4] == 1 for r in got) and any(r[5] < 1 for r in got)
+    lift = {r[:2]: r[5] for r in every}
+    assert all(abs(lift[r[:2]] - r[5]) < 2e-6 for r in got)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
