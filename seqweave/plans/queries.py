@@ -20,6 +20,8 @@ from seqweave.sources.tables import table
 
 LOOKAHEAD, WINDOW, BATCH = 3, 10, 50
 PARAMS = Params(lookahead=LOOKAHEAD, window=WINDOW)
+#: As far as the published run looks ahead; queries whose SQL looks LOOKAHEAD positions ahead have a second form with this.
+WHOLE = Params(window=WINDOW)
 
 
 def _seq(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +36,8 @@ def _prob(spark: SparkSession, d: str) -> DataFrame:
     return model.next_event_prob(_pairs(spark, d))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    edges, _, _ = pipeline.find_edges(_seq(spark, d), PARAMS)
+def _edges(spark: SparkSession, d: str, params: Params = PARAMS) -> DataFrame:
+    edges, _, _ = pipeline.find_edges(_seq(spark, d), params)
     return edges
 
 
@@ -113,7 +115,7 @@ def probability_deltas(spark, d):
 def network_probabilities(spark, d):
     s = _seq(spark, d)
     vocab = sequence.vocabulary(s)
-    net = network.NetworkEstimator(1, 4, epochs=20).fit(s, vocab)
+    net = network.NetworkEstimator(WHOLE.lookahead, WHOLE.window, epochs=20).fit(s, vocab)
     return network.scores(net.transform(s, vocab), vocab)
 
 
@@ -149,6 +151,14 @@ def link_groups(spark, d):
     return _groups(spark, d)
 
 
+def link_edges_whole(spark, d):
+    return _edges(spark, d, WHOLE)
+
+
+def link_groups_whole(spark, d):
+    return links.link_groups(_edges(spark, d, WHOLE))
+
+
 def link_groups_merged(spark, d):
     return links.link_groups_merged(_edges(spark, d))
 
@@ -216,18 +226,18 @@ def holdout_split(spark, d):
 
 
 def activity_pipeline(spark, d):
-    layer = pipeline.run_layer(_seq(spark, d), None, PARAMS)
-    return layer.split(PARAMS)
+    layer = pipeline.run_layer(_seq(spark, d), None, WHOLE)
+    return layer.split(WHOLE)
 
 
 def two_layer_pipeline(spark, d):
-    return pipeline.run_layers(_seq(spark, d), 2, PARAMS)[-1].compressed
+    return pipeline.run_layers(_seq(spark, d), 2, WHOLE)[-1].compressed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         token_sequence, vocabulary, numberify, lookahead_pairs, sliding_windows, one_hot_labels, batch_layout, next_event_prob, probability_column, matrix_shape,
-        probability_deltas, network_probabilities, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_groups_merged, link_contents, link_span, link_similarity,
+        probability_deltas, network_probabilities, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_edges_whole, link_groups_whole, link_groups_merged, link_contents, link_span, link_similarity,
         cluster_links, canonical_forms, match_previous_types, rename_types, update_dataset, compress_sequence, split_sequence, holdout_split, activity_pipeline,
         two_layer_pipeline,
     )

@@ -365,3 +365,15 @@ def test_sql_agrees_on_the_smallest_tables(spark, small):
         order = [list(r.columns).index(c) for c in df.columns]
         want = sorted((str(tuple(round(v, 6) if isinstance(v, float) else v for v in (row[i] for i in order))) for row in r.fetchall()))
         assert sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in row)) for row in df.collect()) == want, name
+
+
+def test_registered_queries_look_ten_ahead(spark, small):
+    from seqweave.plans import queries
+
+    q = queries.queries()
+    near, far = (rows(q[n](spark, small), "seq_id", "k", "one", "two") for n in ("link_edges", "link_edges_whole"))
+    assert {r[1] for r in near} <= {1, 2, 3} < {r[1] for r in far} <= set(range(1, 11))
+    net = q["network_probabilities"](spark, small).agg(F.min("k"), F.max("k"), F.min("pos")).first()
+    assert tuple(net) == (1, 10, 9)
+    groups = {(r[0], r[1]) for r in rows(q["link_groups_whole"](spark, small), "seq_id", "pos")}
+    assert groups == {(r[0], p) for r in far for p in r[2:]}
