@@ -71,6 +71,21 @@ def sized_documents(documents: DataFrame, folder: str = TOKENIZERS, name: str =
     return write_table(token_counts(documents.select("doc_id", source_name(F.col("source")).alias("source"), "text"), folder, name), "sized")
 
 
+def _usable(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """The documents with tokens of the sources that have a share, with ``target_share, max_repeats``."""
+    wanted = (
+        targets.select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+        .where("source is not null and target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
+    )
+    return sized.where("tokens > 0").join(wanted, "source")
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """``source, held, share, room``: a source's tokens, and the total at which it runs out."""
+    held = docs.groupBy("source").agg(F.sum("tokens").alias("held"), F.first("target_share").alias("share"), F.first("max_repeats").alias("repeats"))
+    return held.select("source", "held", "share", (F.col("held") * F.col("repeats") / F.col("share")).alias("room"))
+
+
 def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42) -> DataFrame:
     """The mixture in its order: ``doc_id, source, copy, tokens, finish, position_tokens``.
 
@@ -81,14 +96,9 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     in proportion; beyond that total a source that has run out gives less. Documents of other or null sources and
     those without tokens aren't taken.
     """
-    wanted = (
-        targets.select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-        .where("source is not null and target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
-    )
-    docs = sized.where("tokens > 0").join(wanted, "source")
+    docs = _usable(sized, targets)
     if budget is None:
-        held = docs.groupBy("source").agg(F.sum("tokens").alias("held"), F.first("target_share").alias("share"), F.first("max_repeats").alias("repeats"))
-        r = held.agg(F.min(F.col("held") * F.col("repeats") / F.col("share")).alias("v"), F.sum("share").alias("shares")).first()
+        r = _held(docs).agg(F.min("room").alias("v"), F.sum("share").alias("shares")).first()
         budget = int(r.v * r.shares) if r.v is not None else 0
     queue = docs.select(
         "source", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))).alias("copy"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("shuffled"),
@@ -100,13 +110,26 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     return merged.where(F.col("position_tokens") <= budget).select("doc_id", "source", "copy", "tokens", "finish", "position_tokens")
 
 
-def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: ``source, target_share, actual_share, tokens, taken, documents``; sources without documents have 0."""
-    own = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("taken"), F.sum(F.when(F.col("copy") == 1, 1)).alias("documents"))
+def report(mixed: DataFrame, targets: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Per target: ``source, target_share, actual_share, tokens, taken, documents``; sources without documents have 0.
+
+    With ``sized``, the documents mixed, also ``unused``, the tokens of the source's documents that weren't taken even
+    once, and ``binds``, whether the source is the one that runs out first and so sets the default budget.
+    """
+    own = mixed.groupBy("source").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("taken"), F.sum(F.when(F.col("copy") == 1, 1)).alias("documents"),
+        F.sum(F.when(F.col("copy") == 1, F.col("tokens"))).alias("once"),
+    )
     all_ = mixed.agg(F.sum("tokens").alias("t")).first().t or 0
     rows = targets.select(source_name(F.col("source")).alias("source"), "target_share").dropDuplicates(["source"]).join(own, "source", "left")
     zero = F.lit(0).cast("long")
+    more = []
+    if sized is not None:
+        held = _held(_usable(sized, targets))
+        rows = rows.join(held.select("source", "held", "room"), "source", "left").crossJoin(F.broadcast(held.agg(F.min("room").alias("least"))))
+        more = [(F.coalesce("held", zero) - F.coalesce("once", zero)).alias("unused"), F.coalesce(F.col("room") == F.col("least"), F.lit(False)).alias("binds")]
     return rows.select(
         "source", "target_share", (F.coalesce("tokens", zero) / F.lit(float(max(all_, 1)))).alias("actual_share"),
         *(F.coalesce(c, zero).alias(c) for c in ("tokens", "taken", "documents")),
+        *more,
     )

@@ -81,7 +81,8 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.report(p8_mix(spark, folder), table(spark, folder, "source_targets"))
+    sized, targets = mixing.sized_documents(table(spark, folder, "documents")).df, table(spark, folder, "source_targets")
+    return mixing.report(mixing.mix(sized, targets), targets, sized)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -417,6 +417,13 @@ def test_mixing(spark):
     assert mixing.mix(sized.where("false"), targets).count() == 0
 
 
+def test_the_report_names_the_source_that_binds(spark):
+    sized = spark.createDataFrame([(i, "big", 10) for i in range(100)] + [(100, "tiny", 5), (101, "other", 7)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("Tiny", 0.5, 2), ("none", 0.2, 1)], "source string, target_share double, max_repeats int")
+    told = {r.source: r for r in mixing.report(mixing.mix(sized, targets), targets, sized).collect()}
+    assert {s: (r.tokens, r.taken, r.unused, r.binds) for s, r in told.items()} == {"big": (10, 1, 990, False), "tiny": (10, 2, 0, True), "none": (0, 0, 0, False)}
+
+
 def test_running_sum(spark):
     rnd = random.Random(11)
     data = [(rnd.choice("aaaab"), i, rnd.randint(0, 9)) for i in range(2000)]
