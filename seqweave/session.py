@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +36,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a folder of this process is used, removed at exit.
+    Only where the session names none and all of it runs in one process (``local[...]``, tests) a folder of this process is
+    used, removed at exit. A cluster that names none is an error: no folder of one machine could be read by the others.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     global _own_dir
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="seqweave-")
@@ -51,13 +57,49 @@ class Written:
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path = spark, path
         self.df = spark.read.schema(schema).parquet(path)
+        _scopes[-1].append(self)
 
     def drop(self) -> None:
+        for s in _scopes:
+            if self in s:
+                s.remove(self)
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: The written tables that still stand, by open scope; the first holds those that no scope will remove.
+_scopes: list[list[Written]] = [[]]
+
+
+@contextmanager
+def tables() -> Iterator[list[Written]]:
+    """Tables written inside are dropped at its end, but those put into the list it gives, which the scope around it takes over.
+
+    An operator keeps what its result reads; whoever runs a query to its end encloses it to leave nothing behind.
+    """
+    kept: list[Written] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        own = _scopes.pop()
+        _scopes[-1].extend(w for w in kept if w in own)
+        for w in own:
+            if w not in kept:
+                w.drop()
+
+
+@atexit.register
+def sweep() -> None:
+    """Removes every table that still stands: at the end of the session at the latest, or once all results were consumed."""
+    for w in [w for s in _scopes for w in s]:
+        try:
+            w.drop()
+        except Exception:  # the session has ended before; its cluster's folder goes with it
+            break
+
+
 def write_table(df: DataFrame, label: str) -> Written:
     """Cuts the lineage: writes ``df`` once, to files that outlive any executor. Nobody else reads them, so no success mark is left."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
