@@ -1,50 +1,58 @@
 """Problem 2: grouping records into similarity clusters.
 
-Hierarchical density clustering. Records with equal sets of names form one class. A neighbour graph joins classes whose
-sets are alike (all that share a rare name are compared), edges weigh their distances (single linkage),
-and a distributed Borůvka minimum spanning forest is built band by band of distance: after each band the forest's trees
-are the clusters at that distance, so the condensed hierarchy comes out with the forest. The most stable clusters are
-selected from it, and the members that persist longest describe them.
+Hierarchical density clustering. Records with equal sets of names form one class. All pairs of classes that share more
+than half of their names are neighbours; a first pass over them gives each class its core distance, that of its third
+nearest record, a second one the mutual-reachability graph, in which no edge is shorter than the core distances of its
+ends. Borůvka's algorithm makes the graph's minimum spanning forest, connected components apart from each other: those
+that fit a task are ended by one, larger ones take distributed rounds. The forest's edges, merged at every distance that
+occurs, are the condensed hierarchy; the most stable clusters are selected from it, and their most persistent members
+describe them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.llm.components import local_labels
-from seqweave.llm.events import digest
-from seqweave.session import Written, partitions, ship, write_table
-
-#: Distances (1 - Jaccard similarity) at which the hierarchy is cut. Below the first, clusters aren't split further;
-#: beyond the last, sets share hardly more than a third of their names (half of each: 4 of 8 and 8), which happens by
-#: chance, and aren't neighbours.
-BANDS = (0.5, 0.55, 0.6, 0.64)
-#: Up to here the clusters of the last band last: sets that share half of each, as they do by chance.
-CHANCE = 2 / 3
+from seqweave.llm.components import components, local_labels
+from seqweave.operators.sequence import token_sequence
+from seqweave.session import Written, partitions, ship, tables, write_table
+
+#: Sets are neighbours if more than this share (a fraction) of the names in either is in both, which is more than half of
+#: the names of each where they are of one size.
+SHARED = (1, 3)
+#: The distance (1 - Jaccard similarity) beyond which no sets are neighbours; the roots of the hierarchy are born there.
+FARTHEST = 1 - SHARED[0] / SHARED[1]
+#: Clusters that hold together at this distance aren't split further (the selection epsilon of Malzer and Baum, 2020):
+#: sets that have most of the names in either in both belong together by the problem's statement.
+TOGETHER = 0.5
+#: The core distance is that of this many-th nearest other record.
+NEIGHBOURS = 3
 #: Classes of a rare name's list that stay together; a longer list falls into blocks of about as many, compared two by two.
 BLOCK = 1024
-#: Long lists up to this many are sent to every task; more are joined by shuffle.
-BROADCAST_LISTS = 200_000
 #: Candidate pairs that a task looks at together.
 AT_ONCE = 1_000_000
-#: Edges that a task holds before it reduces them to its own spanning forest.
+#: Sets of more names than this are compared one by one, smaller ones many at once.
+WIDE = 64
+#: Edges that a task holds before it reduces them.
 HELD = 2_000_000
-#: Once the joined components have no more edges left than this, one task ends the band's forest (about 10 MB).
-TAIL = 250_000
+#: Components of more classes than this (each has no more edges than names to be listed under) are spread over all tasks.
+GIANT = 100_000
 _EPS = 1e-9
-GRAPH = "a long, b long, d double"
+GRAPH = "a long, b long, d double, na int, nb int"
+SOLVED = "class long, cluster long, d double"
 
 
 def name_sets(link_names: DataFrame, least_names: int = 3) -> Written:
-    """Written ``link_id, names, digest``: the names of each link with enough of them, rarest first."""
-    rarity = link_names.groupBy("name").agg(F.count("*").alias("n"))
-    sets = link_names.join(rarity, "name").groupBy("link_id").agg(F.sort_array(F.collect_list(F.struct("n", "name"))).alias("o"))
-    return write_table(sets.where(F.size("o") >= least_names).select("link_id", F.col("o.name").alias("names")).withColumn("digest", digest(F.col("names"))), "sets")
+    """Written ``link_id, names``: the names of each link with enough of them, as numbers, the rarest name having the least."""
+    rarity = link_names.groupBy("name").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    numbered = token_sequence(rarity, "all", ["n", "name"], "name").select(F.col("token").alias("name"), F.col("pos").alias("number"))
+    sets = link_names.join(numbered, "name").groupBy("link_id").agg(F.sort_array(F.collect_list("number")).alias("names"))
+    return write_table(sets.where(F.size("names") >= least_names), "sets")
 
 
 def local_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -86,96 +94,176 @@ def local_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lists to a padded matrix (each row's padding matches nothing) and sizes."""
-    offsets = column.offsets.to_numpy()
-    sizes = np.diff(offsets)
-    flat = column.values.to_numpy(zero_copy_only=False)
-    m = np.full((len(sizes), max(1, sizes.max(initial=1))), -1, np.int64)
-    at = np.arange(len(flat) - (len(flat) - (offsets[-1] - offsets[0])))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    m[row, at - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat[offsets[0] : offsets[-1]].astype(np.int64) & 0xFFFFFFFF
-    return m, sizes
-
-
-def _overlap(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(i), np.int32)
-    for lo in range(0, len(i), 100_000):
-        p, q = m[i[lo : lo + 100_000]], m[j[lo : lo + 100_000]]
-        n = np.zeros(len(p), np.int32)
-        for k in range(m.shape[1]):
-            c = p[:, k : k + 1]
-            n += ((q == c) & (c >= 0)).any(axis=1)
-        out[lo : lo + 100_000] = n
-    return out
-
-
-def _pairs(key: np.ndarray, ids: np.ndarray, m: np.ndarray, sizes: np.ndarray, farthest: float, at: np.ndarray | None = None, half: np.ndarray | None = None):
-    """All alike rows with the same key (its rows follow each other): arrays a < b and distance.
-
-    ``at`` is the place of the key's name in the row's set: a pair is looked at where the rest of both sets is long
-    enough, which it is at the first name they share. With ``half``, only rows of different halves are compared.
+class _Sets:
+    """Lists of numbers as they lie in a column, and for each 64 bits of which every element sets one."""
+
+    def __init__(self, column: pa.Array):
+        offsets = column.offsets.to_numpy()
+        self.start, self.size = offsets[:-1] - offsets[0], np.diff(offsets)
+        self.flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+        bit = np.uint64(1) << ((self.flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+        self.bits = np.zeros(len(self.size), np.uint64)
+        np.bitwise_or.at(self.bits, np.repeat(np.arange(len(self.size)), self.size), bit)
+
+    def padded(self, rows: np.ndarray, width: int, by: int) -> np.ndarray:
+        """The lists of some rows as a matrix, filled up with ``by``."""
+        at = np.arange(width)
+        here = at < self.size[rows][:, None]
+        return np.where(here, self.flat[np.where(here, self.start[rows][:, None] + at, 0)], by)
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many elements rows i and j share, and the first of them."""
+        n, first = np.zeros(len(i), np.int64), np.full(len(i), -1, np.int64)
+        width = np.maximum(self.size[i], self.size[j])
+        done = 0
+        while done < WIDE:  # sets of about one size together
+            upto = max(8, 2 * done)
+            own = np.flatnonzero((width > done) & (width <= upto))
+            for lo in range(0, len(own), 50_000):
+                at = own[lo : lo + 50_000]
+                p, q = self.padded(i[at], upto, -1), self.padded(j[at], upto, -2)
+                count, least = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+                for k in range(upto):
+                    c = p[:, k]
+                    hit = (q == c[:, None]).any(axis=1)
+                    new = hit & (count == 0)
+                    least[new] = c[new]
+                    count += hit
+                n[at], first[at] = count, least
+            done = upto
+        for at in np.flatnonzero(width > WIDE):
+            both = np.intersect1d(*(self.flat[self.start[x] : self.start[x] + self.size[x]] for x in (i[at], j[at])), assume_unique=True)
+            n[at], first[at] = len(both), both[0] if len(both) else -1
+        return n, first
+
+
+def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least overlap of neighbours with x and y names."""
+    num, den = SHARED
+    return num * (x + y) // (num + den) + 1
+
+
+def _pairs(cell: np.ndarray, key: np.ndarray, ids: np.ndarray, names: _Sets, own: np.ndarray, at: np.ndarray, half: np.ndarray | None = None):
+    """All neighbours among the rows of each cell (they follow each other): indices i, j of rows, and distances.
+
+    ``own`` are the rows' places in ``names``, ``key`` is the number of the name that the cell lists and ``at`` its place in the row's set. A pair is given in the
+    cell of the first name it shares only. With ``half``, only rows of different halves are compared.
     """
-    n = len(key)
+    sizes, bits = names.size[own], names.bits[own]
+    n = len(cell)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     ends = np.append(starts[1:], n)
     later = np.repeat(ends, ends - starts) - np.arange(n) - 1
     upto = np.concatenate([[0], np.cumsum(later)])
-    rest = sizes - (0 if at is None else at)
-    least = (1 - farthest) / (2 - farthest)
+    rest = sizes - at
     got, lo = [], 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + AT_ONCE, side="right")) - 1)
         i = np.repeat(np.arange(lo, hi), later[lo:hi])
         j = i + 1 + np.arange(len(i)) - (upto[i] - upto[lo])
-        possible = (ids[i] != ids[j]) & (np.minimum(np.minimum(sizes[i], sizes[j]), np.minimum(rest[i], rest[j])) >= (sizes[i] + sizes[j]) * least - _EPS)
+        need = _least(sizes[i], sizes[j])
+        possible = (ids[i] != ids[j]) & (np.minimum(rest[i], rest[j]) >= need)
         if half is not None:
             possible &= half[i] != half[j]
-        i, j = i[possible], j[possible]
-        shared = _overlap(m, i, j)
-        d = 1 - shared / (sizes[i] + sizes[j] - shared)
-        near = d <= farthest + _EPS
-        got.append((np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near], d[near]))
+        i, j, need = i[possible], j[possible], need[possible]
+        # A name of one set whose bit the other doesn't have isn't shared: most chance meetings end here.
+        p, q = bits[i], bits[j]
+        possible = np.minimum(sizes[i] - np.bitwise_count(p & ~q), sizes[j] - np.bitwise_count(q & ~p)) >= need
+        i, j, need = i[possible], j[possible], need[possible]
+        shared, first = names.shared(own[i], own[j])
+        near = (shared >= need) & (first == key[i])
+        i, j, shared = i[near], j[near], shared[near]
+        got.append((i, j, 1 - shared / (sizes[i] + sizes[j] - shared)))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def _neighbours(farthest: float):
-    """Over ``key, p, q, mine, at, class, codes``, sorted by the first three: the forest of the pairs of each cell ``key, p, q``."""
+def _ends(i, j, d, t: pa.Table) -> tuple:
+    """Each neighbour of each end: the end, the distance, and the records that the neighbour stands for."""
+    ids, copies = t.column(5).to_numpy(), t.column(7).to_numpy()
+    return np.concatenate([ids[i], ids[j]]), np.concatenate([d, d]), np.concatenate([copies[j], copies[i]])
+
+
+def _edges(i, j, d, t: pa.Table) -> tuple:
+    """Edges of mutual reachability, the smaller class first."""
+    ids, copies, core = (t.column(x).to_numpy() for x in (5, 7, 8))
+    turned = ids[i] > ids[j]
+    i, j = np.where(turned, j, i), np.where(turned, i, j)
+    return ids[i], ids[j], np.maximum(d, np.maximum(core[i], core[j])), copies[i], copies[j]
+
+
+def _nearest(held: list[tuple]) -> tuple:
+    """The distances of the nearest records of each end, at most NEIGHBOURS."""
+    v, d, n = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((d, v))
+    v, d, n = v[order], d[order], n[order]
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    before = np.cumsum(n) - n
+    keep = before - np.repeat(before[start], np.diff(np.r_[start, len(v)])) < NEIGHBOURS
+    return v[keep], d[keep], n[keep]
+
+
+def _reduced(held: list[tuple]) -> tuple:
+    """The spanning forest of edges: an edge outside it can't be in the whole forest."""
+    e = tuple(np.concatenate(x) for x in zip(*held))
+    keep = local_forest(*e[:3])
+    return tuple(x[keep] for x in e)
+
+
+def _near_rows(e: tuple) -> Iterator[pa.RecordBatch]:
+    v, d, n = e
+    d, v = np.repeat(d, np.minimum(n, NEIGHBOURS)), np.repeat(v, np.minimum(n, NEIGHBOURS))
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    at = np.r_[start, len(v)].astype(np.int32)
+    for lo in range(0, len(start), 50_000):
+        hi = min(lo + 50_000, len(start))
+        yield pa.RecordBatch.from_arrays([pa.array(v[start[lo:hi]]), pa.ListArray.from_arrays(pa.array(at[lo : hi + 1]), pa.array(d))], names=["class", "near"])
+
+
+def _edge_rows(e: tuple) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(e[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in e], names=["a", "b", "d", "na", "nb"])
+
+
+def _by_cell(found: Callable, reduced: Callable, rows: Callable):
+    """Over cells ``key, p, q, mine, at, class, names, copies[, core]``, sorted by the first three: what ``found`` makes of
+    all pairs of neighbours, held only as far as ``reduced`` needs it."""
 
     def alike(t: pa.Table) -> list[tuple]:
-        p, q, mine, at, ids = (t.column(i).to_numpy() for i in range(1, 6))
+        key, p, q, mine, at, ids = (t.column(i).to_numpy() for i in range(6))
         cell = np.cumsum(_begins(t))
-        m, sizes = _codes(t.column(6).combine_chunks())
+        names = _Sets(t.column(6).combine_chunks())
         out = []
-        for rows, halves in ((np.flatnonzero(p == q), False), (np.flatnonzero(p != q), True)):
-            if len(rows):
-                out.append(_pairs(cell[rows], ids[rows], m[rows], sizes[rows], farthest, at[rows], mine[rows] if halves else None))
+        for own, halves in ((np.flatnonzero(p == q), False), (np.flatnonzero(p != q), True)):
+            if len(own):
+                i, j, d = _pairs(cell[own], key[own], ids[own], names, own, at[own], mine[own] if halves else None)
+                out.append(found(own[i], own[j], d, t))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_held = 0
-        tail: pa.Table | None = None
+        tail: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            if tail is not None:
-                t = pa.concat_tables([tail, t])
-            last = int(np.flatnonzero(_begins(t))[-1])
-            tail = t.slice(last)
+            if tail and _begins(pa.concat_tables([tail[-1].slice(tail[-1].num_rows - 1), t]))[1:].any():
+                t = pa.concat_tables([*tail, t])
+                tail = []
+            last = int(np.flatnonzero(_begins(t))[-1]) if not tail else 0
+            tail.append(t.slice(last))
             if last:
-                found = alike(t.slice(0, last))
-                held += found
-                n_held += sum(len(x[0]) for x in found)
+                new = alike(t.slice(0, last))
+                held += new
+                n_held += sum(len(x[0]) for x in new)
             if n_held > HELD:
-                held = [_reduced(held)]
+                held = [reduced(held)]
                 n_held = len(held[0][0])
-        if tail is not None:
-            yield from _edge_batches(_reduced(held + alike(tail)))
+        if tail:
+            yield from rows(reduced(held + alike(pa.concat_tables(tail))))
 
     return run
 
@@ -190,59 +278,185 @@ def _begins(t: pa.Table) -> np.ndarray:
     return out
 
 
-def _reduced(held: list[tuple]) -> tuple:
-    a, b, d = (np.concatenate(x) for x in zip(*held))
-    keep = local_forest(a, b, d)
-    return a[keep], b[keep], d[keep]
+def _long_lists(classes: DataFrame) -> Written:
+    """``key, blocks``: the names under which more than BLOCK classes are listed."""
+    listed = classes.select(F.explode(F.slice("names", F.lit(1), _prefix())).alias("key"))
+    return write_table(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long")
 
 
-def _edge_batches(e: tuple) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(e[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in e], names=["a", "b", "d"])
+def _prefix():
+    """The length of a set's rare end that is sure to hold the first name it shares with any neighbour."""
+    n = F.size("names")
+    return n - F.floor(n * F.lit(SHARED[0]) / F.lit(SHARED[1]) + _EPS).cast("int")
 
 
-def neighbour_graph(classes: DataFrame, farthest: float = BANDS[-1]) -> DataFrame:
-    """``a, b, d``: edges between alike classes (``class, names``, rarest name first).
+def _cells(classes: DataFrame, long: DataFrame) -> DataFrame:
+    """Each class under the names of its rare end: the cells in which all rows are compared, sorted.
 
-    Two sets within ``farthest`` share at least one of the rarest names that make up this share of either, so each
-    class is listed under those names, and every two classes of a list are compared, however long it is: a list of more
-    than BLOCK classes falls into blocks, and each two blocks of it are a cell of their own. Each task keeps only the
-    spanning forest of its cells' edges (an edge outside it can't be in the whole forest).
+    A list of more than BLOCK classes falls into blocks, and each two blocks of it are a cell of their own.
     """
-    spark = classes.sparkSession
-    ship(spark)
-    length = F.size("names") - F.ceil(F.size("names") * (1 - farthest) - _EPS).cast("int") + 1
-    codes = F.transform("names", lambda n: F.hash(n))
-    listed = classes.select("class", codes.alias("codes"), length.alias("length")).select(F.posexplode(F.slice("codes", F.lit(1), F.col("length"))).alias("at", "key"), "class", "codes")
-    long = write_table(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long").df
-    n_long = long.count()
-    order = ["key", "p", "q", "mine", "at", "class", "codes"]
-    none = F.lit(0)
-    if not n_long:
-        cells = listed.select("key", none.alias("p"), none.alias("q"), none.alias("mine"), "at", "class", "codes")
-    else:
-        sized = F.broadcast(long) if n_long <= BROADCAST_LISTS else long
-        blocks = listed.join(sized, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        each = blocks.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
-        cells = each.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).select(*order)
-    together = cells.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return write_table(together.mapInArrow(_neighbours(farthest), GRAPH), "graph").df
-
-
-def mutual_reachability(edges: DataFrame, neighbours: int = 1) -> DataFrame:
-    """Raises each distance to the core distances of both ends: the distance of their ``neighbours``-th neighbour.
-
-    With one neighbour, the default, no edge is shorter than its ends' core distances, so nothing changes and nothing is
-    computed: single linkage. More neighbours need all edges of the graph, not the forests of :func:`neighbour_graph`.
-    An end with fewer neighbours has the distance of its last one.
+    more = [c for c in classes.columns if c not in ("class", "names")]
+    listed = classes.select(F.posexplode(F.slice("names", F.lit(1), _prefix())).alias("at", "key"), "class", "names", *more)
+    blocks = listed.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = blocks.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = each.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).select("key", "p", "q", "mine", "at", "class", "names", *more)
+    return cells.repartition(partitions(classes.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def core_distances(classes: DataFrame, long: DataFrame) -> DataFrame:
+    """``class, core``: the distance of the NEIGHBOURS-th nearest other record, for classes that have a neighbour.
+
+    Taken from all pairs of neighbours. The other records of a class are at distance 0, a neighbouring class counts for
+    all its records. A class with fewer records in reach has the distance of the last, so a pair may be a cluster.
+    """
+    ship(classes.sparkSession)
+    found = _cells(classes, long).mapInArrow(_by_cell(_ends, _nearest, _near_rows), "class long, near array<double>")
+    near = found.groupBy("class").agg(F.flatten(F.collect_list("near")).alias("near"))  # one short row for each name it is listed under
+    own = near.join(classes.select("class", "copies"), "class")
+    all_ = F.sort_array(F.concat(F.array_repeat(F.lit(0.0), F.least(F.col("copies") - 1, F.lit(NEIGHBOURS))), "near"))
+    return own.select("class", F.element_at(all_, F.least(F.lit(NEIGHBOURS), F.size(all_))).alias("core"))
+
+
+def neighbour_graph(classes: DataFrame, long: DataFrame) -> DataFrame:
+    """``a, b, d, na, nb``: the mutual-reachability graph of ``class, names, copies, core``, of which each task that compares
+    cells keeps only the spanning forest of its own edges; ``na, nb`` are the records of its ends."""
+    ship(classes.sparkSession)
+    return _cells(classes, long).mapInArrow(_by_cell(_edges, _reduced, _edge_rows), GRAPH)
+
+
+def _hierarchy(x: np.ndarray, y: np.ndarray, d: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The cluster of each atom, -1 for none: the most stable of the condensed hierarchy of forest edges x-y of distance d.
+
+    Atoms are what holds together at TOGETHER. Edges of one distance merge at once, whatever their order. A merge that
+    holds one cluster continues it; one that holds several begins a new one, which competes with them: its stability is
+    the sum, over its records, of the span of 1 / distance from where the record leaves it to where it is born itself.
     """
-    if neighbours == 1:
-        return edges
-    ends = edges.select(F.col("a").alias("v"), "d", F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), "d", F.col("a").alias("u")))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))
-    core = ends.distinct().withColumn("r", rank).where(F.col("r") <= neighbours).groupBy("v").agg(F.max("d").alias("core"))
-    a, b = core.select(F.col("v").alias("a"), F.col("core").alias("ca")), core.select(F.col("v").alias("b"), F.col("core").alias("cb"))
-    return edges.join(a, "a").join(b, "b").select("a", "b", F.greatest("d", "ca", "cb").alias("d"))
+    n = len(size)
+    top = list(range(n))  # union-find over atoms
+
+    def find(v: int) -> int:
+        while top[v] != v:
+            top[v] = top[top[v]]
+            v = top[v]
+        return v
+
+    count = size.tolist()
+    # Per root: its condensed cluster (-1: a single record), the sum of its records' 1 / distance, what its parts make at best.
+    cluster: list[int] = []
+    keeps: list[bool] = []
+    above: list[int] = []
+    left = [0.0] * n
+    parts = [0.0] * n
+    entered = [-1] * n
+
+    def begin() -> int:
+        cluster_id = len(keeps)
+        keeps.append(True)
+        above.append(-1)
+        return cluster_id
+
+    for v in range(n):
+        cluster.append(begin() if count[v] >= 2 else -1)
+        left[v] = count[v] / TOGETHER
+        entered[v] = cluster[v]
+
+    def end(v: int, born: float) -> float:
+        """Closes a root's cluster where it is born; gives what it or its parts make."""
+        own = left[v] - count[v] / born
+        keeps[cluster[v]] = own >= parts[v] - _EPS
+        return max(own, parts[v])
+
+    order = np.argsort(d, kind="stable")
+    xs, ys, ds = x[order].tolist(), y[order].tolist(), d[order].tolist()
+    at = 0
+    while at < len(ds):
+        upto = at
+        met: dict[int, int] = {}
+
+        def meet(v: int) -> int:
+            while met.setdefault(v, v) != v:
+                v = met[v]
+            return v
+
+        while upto < len(ds) and ds[upto] <= ds[at] + _EPS:
+            p, q = meet(find(xs[upto])), meet(find(ys[upto]))
+            if p != q:
+                met[max(p, q)] = min(p, q)
+            upto += 1
+        born = ds[at]
+        groups: dict[int, list[int]] = {}
+        for v in met:
+            groups.setdefault(meet(v), []).append(v)
+        for root, members in groups.items():
+            held = [v for v in members if cluster[v] >= 0]
+            total = sum(count[v] for v in members)
+            if len(held) == 1:
+                own = cluster[held[0]]
+                sum_, best = left[held[0]] + (total - count[held[0]]) / born, parts[held[0]]
+            else:
+                own = begin()
+                sum_, best = total / born, 0.0
+                for v in held:
+                    best += end(v, born)
+                    above[cluster[v]] = own
+            for v in members:
+                if cluster[v] < 0:
+                    entered[v] = own
+                top[v] = root
+            cluster[root], count[root], left[root], parts[root] = own, total, sum_, best
+        at = upto
+    for v in range(n):
+        if top[v] == v and cluster[v] >= 0:
+            end(v, FARTHEST)
+    chosen = [-1] * len(keeps)
+    for c in reversed(range(len(keeps))):  # clusters begin after their parts
+        up = chosen[above[c]] if above[c] >= 0 else -1
+        chosen[c] = up if up >= 0 else c if keeps[c] else -1
+    return np.array([chosen[e] if e >= 0 else -1 for e in entered], np.int64)
+
+
+def _solved(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Whole components, edges ``comp, a, b, d, na, nb``: their forest, hierarchy and clusters, one row per class."""
+    t = pa.Table.from_batches(batches)
+    a, b, d, na, nb = (t.column(i).to_numpy() for i in range(1, 6))
+    keep = local_forest(a, b, d)
+    a, b, d, na, nb = a[keep], b[keep], d[keep], na[keep], nb[keep]
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    copies = np.zeros(len(nodes), np.int64)
+    copies[x], copies[y] = na, nb
+    near = np.full(len(nodes), np.inf)
+    np.minimum.at(near, x, d)
+    np.minimum.at(near, y, d)
+    tight = d <= TOGETHER + _EPS
+    atom = local_labels(len(nodes), x[tight], y[tight])
+    heads, at = np.unique(atom, return_inverse=True)
+    chosen = _hierarchy(at[x[~tight]], at[y[~tight]], d[~tight], np.bincount(at, copies).astype(np.int64))[at]
+    cluster = pa.nulls(len(nodes), pa.int64())
+    if len(heads) and (has := chosen >= 0).any():
+        least = np.full(chosen.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, chosen[has], nodes[has])
+        cluster = pa.array(least[chosen], mask=~has)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), cluster, pa.array(near)], names=["class", "cluster", "d"])
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components sorted by ``comp``; about HELD / 4 edges are worked on at once, whole components of no more than they have."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        comp = b.column(0).to_numpy()
+        if held and n > HELD // 4:
+            cut = int(np.searchsorted(comp, held[-1].column(0)[held[-1].num_rows - 1].as_py(), side="right"))
+            if cut < len(comp):
+                yield _solved([*held, b.slice(0, cut)])
+                held, n, b = [], 0, b.slice(cut)
+        held.append(b)
+        n += b.num_rows
+    if held:
+        yield _solved(held)
 
 
 def _roots(best: DataFrame) -> Written:
@@ -267,64 +481,35 @@ def _roots(best: DataFrame) -> Written:
         now = w.df.select("c", "p")
 
 
-def _end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forest of few edges ``a, b, d, ca, cb`` between components: its edges and the map of the components it joins."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    a, b, d, ca, cb = (t.column(i).to_numpy() for i in range(5))
-    keep = local_forest(ca, cb, d)
-    nodes, code = np.unique(np.concatenate([ca, cb]), return_inverse=True)
-    root = nodes[local_labels(len(nodes), code[: len(ca)], code[len(ca) :])]
-    n, m = len(keep), len(nodes)
-    yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(a[keep]), pa.array(b[keep]), pa.array(d[keep])], names=["edge", "a", "b", "d"])
-    yield pa.RecordBatch.from_arrays([pa.array([False] * m), pa.array(nodes), pa.array(root), pa.nulls(m, pa.float64())], names=["edge", "a", "b", "d"])
-
+def forest(edges: DataFrame, levels: list[float]) -> tuple[list[DataFrame | None], list[DataFrame]]:
+    """Distributed Borůvka over growing distances ``levels``.
 
-def forest(edges: DataFrame, bands: tuple[float, ...] = BANDS) -> tuple[list[DataFrame | None], list[DataFrame]]:
-    """Borůvka over growing bands of distance.
-
-    Gives, per band, the map ``c, p`` of the components that the band joined (from those of the band before, at first
-    the nodes; None if it joined none) and the forest's edges ``a, b, d`` of the band. Rounds are distributed until at most
-    TAIL edges are left between components; the same algorithm then ends the band in one task.
+    Gives, per level, the map ``c, p`` of the components that it joined (from those of the level before, at first the
+    nodes; None if it joined none) and the forest's edges ``a, b, d``.
     """
     rest = write_table(edges.select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb")), "edges")
     maps, trees = [], []
-    for band in bands:
-        active = rest.df.where(F.col("d") <= band + _EPS)
+    for level in levels:
+        active, own = rest.df.where(F.col("d") <= level + _EPS), None
         label: DataFrame | None = None
-        chosen: list[DataFrame] = []
-        own: Written | None = None
-        while n := active.count():
-            if n <= TAIL:
-                end = write_table(active.select("a", "b", "d", "ca", "cb").coalesce(1).mapInArrow(_end, "edge boolean, a long, b long, d double"), "tail").df
-                chosen.append(end.where("edge").select("a", "b", "d"))
-                root = end.where("not edge").select(F.col("a").alias("c"), F.col("b").alias("p"))
-            else:
-                ends = active.select(F.col("ca").alias("c"), F.struct("d", "a", "b", F.col("cb").alias("o")).alias("e")).unionByName(active.select(F.col("cb").alias("c"), F.struct("d", "a", "b", F.col("ca").alias("o")).alias("e")))
-                best = write_table(ends.groupBy("c").agg(F.min("e").alias("e")), "best").df
-                chosen.append(best.select("e.a", "e.b", "e.d").distinct())
-                root = _roots(best).df.select("c", "p")
+        while not active.isEmpty():
+            ends = active.select(F.col("ca").alias("c"), F.struct("d", "a", "b", F.col("cb").alias("o")).alias("e")).unionByName(active.select(F.col("cb").alias("c"), F.struct("d", "a", "b", F.col("ca").alias("o")).alias("e")))
+            best = write_table(ends.groupBy("c").agg(F.min("e").alias("e")), "best").df
+            trees.append(best.select("e.a", "e.b", "e.d").distinct())
+            root = _roots(best).df.select("c", "p")
             if label is None:
                 label = root
             else:
                 up = root.select(F.col("c").alias("p"), F.col("p").alias("q"))
-                label = label.join(up, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
-            if n <= TAIL:
-                break
-            active, before = write_table(_moved(active, root), "edges"), own
+                label = write_table(label.join(up, "p", "left").select("c", F.coalesce("q", "p").alias("p")), "labels").df
+            after, before = write_table(_moved(active, root), "edges"), own
             if before is not None:
                 before.drop()
-            own, active = active, active.df
-        if label is not None:
-            if len(chosen) > 1:
-                label = write_table(label, "labels").df
-            if band != bands[-1]:
-                before, rest = rest, write_table(_moved(rest.df.where(F.col("d") > band + _EPS), label), "edges")
-                before.drop()
+            own, active = after, after.df
+        if label is not None and level != levels[-1]:
+            before, rest = rest, write_table(_moved(rest.df.where(F.col("d") > level + _EPS), label), "edges")
+            before.drop()
         maps.append(label)
-        trees += chosen
     return maps, trees
 
 
@@ -335,28 +520,20 @@ def _moved(edges: DataFrame, root: DataFrame) -> DataFrame:
     return both.select("a", "b", "d", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb")
 
 
-def select_clusters(classes: DataFrame, maps: list[DataFrame | None], bands: tuple[float, ...] = BANDS) -> DataFrame:
-    """``class, cluster``: the most stable clusters of the condensed hierarchy, at least two records in each.
-
-    A component of one band that holds exactly one cluster of the band below continues it; one that holds several starts
-    a new cluster, which competes with them. Stability is the records times the span of 1 / distance over which the
-    cluster lasts, those of the last band up to CHANCE. A cluster is kept if it is at least as stable as what its best parts make together.
-    """
-    levels = len(bands)
-    lam = [1 / b for b in (*bands, CHANCE)]
+def select_clusters(classes: DataFrame, maps: list[DataFrame | None], levels: list[float]) -> DataFrame:
+    """``class, cluster``: as :func:`_hierarchy`, by joins, for components of any size; ``classes`` has ``class, copies``."""
+    lam = [1 / b for b in (*levels, FARTHEST)]
     at = classes.select("class", "copies", F.col("class").alias("c"))
-    names = []
     for i, m in enumerate(maps):
         if m is not None:
             up = m.select("c", F.col("p").alias("q"))
             at = at.join(up, "c", "left").withColumn("c", F.coalesce("q", "c")).drop("q")
         at = at.withColumn(f"c{i}", F.col("c"))
-        names.append(f"c{i}")
     at = write_table(at.drop("c"), "levels").df
-    # Bottom-up: the distinct paths of components, with the sizes of each level's components.
+    # Bottom-up: the components of each level, what their cluster (the chain) and its parts make.
     below: DataFrame | None = None
-    tables = []
-    for i in range(levels):
+    per_level = []
+    for i in range(len(levels)):
         step = lam[i] - lam[i + 1]
         size = at.groupBy(f"c{i}").agg(F.sum("copies").alias("n"))
         if below is None:
@@ -371,17 +548,51 @@ def select_clusters(classes: DataFrame, maps: list[DataFrame | None], bands: tup
                 F.col(f"c{i}").alias("c"), "n", F.coalesce("k", F.lit(0)).alias("k"),
                 F.when(one, F.col("kid_chain")).otherwise(0.0).alias("chain"), F.when(one, F.col("kid_sub")).otherwise(F.coalesce("kid_best", F.lit(0.0))).alias("sub"),
             )
-        node = node.withColumn("chain", F.col("chain") + F.col("n") * step)
-        below = write_table(node, "nodes").df
-        tables.append(below)
+        below = write_table(node.withColumn("chain", F.col("chain") + F.col("n") * step), "nodes").df
+        per_level.append(below)
     # Top-down: a chain's upper end decides for the chain.
     out = at.withColumn("cluster", F.lit(None).cast("long")).withColumn("top", F.lit(True))
-    for i in reversed(range(levels)):
-        t = tables[i].select(F.col("c").alias(f"c{i}"), "n", "k", "chain", "sub")
-        chosen = F.col("cluster").isNull() & F.col("top") & (F.col("n") >= 2) & (F.col("chain") >= F.col("sub"))
-        mark = F.when(chosen, F.col(f"c{i}") * levels + i).otherwise(F.col("cluster"))
+    for i in reversed(range(len(levels))):
+        t = per_level[i].select(F.col("c").alias(f"c{i}"), "n", "k", "chain", "sub")
+        chosen = F.col("cluster").isNull() & F.col("top") & (F.col("n") >= 2) & (F.col("chain") >= F.col("sub") - _EPS)
+        mark = F.when(chosen, F.col(f"c{i}") * len(levels) + i).otherwise(F.col("cluster"))
         out = out.join(t, f"c{i}").withColumn("cluster", mark).withColumn("top", F.col("k") != 1).drop("n", "k", "chain", "sub")
-    return out.where("cluster is not null").select("class", "copies", "cluster")
+    return out.select("class", "cluster")
+
+
+def _giants(edges: DataFrame) -> DataFrame:
+    """``class, cluster, d`` of components too large for a task: distributed rounds for the forest, joins for the hierarchy.
+
+    Its distances are those that the forest has: for sets of up to n names at most about n * n / 5.
+    """
+    maps, trees = forest(edges, [TOGETHER, FARTHEST])
+    every = trees[0]
+    for t in trees[1:]:
+        every = every.unionByName(t)
+    every = write_table(every, "forest").df
+    levels = [TOGETHER, *sorted({round(r.d, 9) for r in every.where(F.col("d") > TOGETHER + _EPS).select(F.round("d", 9).alias("d")).distinct().collect()})]
+    if len(levels) > 1:
+        maps, _ = forest(every, levels)
+    ends = edges.select(F.col("a").alias("class"), F.col("na").alias("copies"), "d").unionByName(edges.select(F.col("b").alias("class"), F.col("nb").alias("copies"), "d"))
+    classes = write_table(ends.groupBy("class").agg(F.first("copies").alias("copies"), F.min("d").alias("d")), "giant-classes").df
+    picked = write_table(select_clusters(classes, maps[: len(levels)], levels), "giant-picked").df
+    least = picked.where("cluster is not null").groupBy("cluster").agg(F.min("class").alias("least"))
+    return picked.join(least, "cluster", "left").join(classes.select("class", "d"), "class").select("class", F.col("least").alias("cluster"), "d")
+
+
+def solved(graph: DataFrame) -> DataFrame:
+    """``class, cluster, d`` of every class in the graph ``a, b, d, na, nb``: its cluster, named by its least class (null for
+    none), and the distance at which it leaves it."""
+    spark = graph.sparkSession
+    groups = write_table(components(graph.select(F.lit(0).cast("long").alias("seq_id"), F.col("a").alias("one"), F.col("b").alias("two"))).select(F.col("group").alias("comp"), F.col("node").alias("a")), "components").df
+    giant = write_table(groups.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > GIANT).select("comp"), "giant").df
+    placed = graph.join(groups, "a").select("comp", "a", "b", "d", "na", "nb")
+    some = not giant.isEmpty()
+    small = placed.join(giant, "comp", "left_anti") if some else placed
+    out = small.repartition(partitions(spark), "comp").sortWithinPartitions("comp").mapInArrow(_solve, SOLVED)
+    if some:
+        out = out.unionByName(_giants(write_table(placed.join(giant, "comp", "left_semi").drop("comp"), "giant-edges").df))
+    return out
 
 
 def similar_groups(link_names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -391,32 +602,29 @@ def similar_groups(link_names: DataFrame) -> tuple[DataFrame, DataFrame]:
     than three names and links alike to no other are in no cluster; no links, no rows. ``persistence`` is 1 / distance at
     which the link leaves its cluster, that of equal sets being without bound (null).
     """
-    sets = name_sets(link_names)
-    classes = write_table(sets.df.groupBy("digest").agg(F.min("link_id").alias("class"), F.count("*").alias("copies"), F.first("names").alias("names")), "classes")
-    edges = mutual_reachability(neighbour_graph(classes.df))
-    maps, trees = forest(edges)
-    picked = write_table(select_clusters(classes.df, maps), "picked").df
-    ids = picked.groupBy("cluster").agg(F.min("class").alias("cluster_id"), F.sum("copies").alias("n")).where("n >= 2")
-    of_class = picked.join(ids, "cluster").select("class", "cluster_id")
-    member = sets.df.select("digest", "link_id").join(classes.df.select("digest", "class", "copies"), "digest").select("class", "copies", "link_id")
-    found = member.join(of_class, "class").select("cluster_id", "link_id")
-    spark = link_names.sparkSession
-    if trees:
-        every = trees[0]
-        for t in trees[1:]:
-            every = every.unionByName(t)
-        near = every.select(F.col("a").alias("class"), "d").unionByName(every.select(F.col("b").alias("class"), "d")).groupBy("class").agg(F.min("d").alias("d"))
-    else:
-        near = spark.createDataFrame([], "class long, d double")
-    persistence = member.join(near, "class", "left").select("link_id", F.when(F.col("copies") == 1, 1 / F.col("d")).alias("persistence"))
-    return found, persistence
+    with tables() as kept:
+        sets = name_sets(link_names)
+        classes = write_table(sets.df.groupBy("names").agg(F.min("link_id").alias("class"), F.count("*").cast("int").alias("copies")).select("class", "names", "copies"), "classes")
+        long = _long_lists(classes.df).df
+        core = write_table(core_distances(classes.df, long), "core").df
+        graph = write_table(neighbour_graph(classes.df.join(core, "class"), long), "graph").df
+        picked = write_table(solved(graph), "solved")
+        kept += [sets, classes, picked]
+    member = sets.df.join(classes.df, "names").select("class", "copies", "link_id").join(picked.df, "class", "left")
+    # Equal sets that resemble no others are a cluster of their own.
+    cluster = F.coalesce("cluster", F.when(F.col("d").isNull() & (F.col("copies") >= 2), F.col("class")))
+    found = member.select(cluster.alias("cluster_id"), "link_id").where("cluster_id is not null")
+    return found, member.select("link_id", F.when(F.col("copies") == 1, 1 / F.col("d")).alias("persistence"))
 
 
 def describe(found: DataFrame, persistence: DataFrame, types: DataFrame, typical: int = 3) -> DataFrame:
     """``cluster_id, size, typical_links, type_name, type_share``: each cluster's size, its most persistent links and, as
     evidence, the name that most of its links had before (the smaller on ties, null if none had one) with its share."""
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc_nulls_first("persistence"), "link_id"))
-    best = found.join(persistence, "link_id").withColumn("r", rank).where(F.col("r") <= typical).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("r", "link_id"))).alias("t"))
+    order = (F.desc_nulls_first("persistence"), "link_id")
+    part = found.join(persistence, "link_id").withColumn("part", F.pmod(F.xxhash64("link_id"), F.lit(256)))
+    for by in (("cluster_id", "part"), ("cluster_id",)):  # a huge cluster is ranked in parts first
+        part = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= typical)
+    best = part.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("r", "link_id"))).alias("t"))
     sizes = found.groupBy("cluster_id").agg(F.count("*").alias("size"))
     named = types.where("type_name is not null").select("link_id", "type_name").distinct()
     votes = found.join(named, "link_id").groupBy("cluster_id", "type_name").agg(F.count("*").alias("n"))

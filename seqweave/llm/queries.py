@@ -26,14 +26,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_runs(spark, folder).select("seq_id", "first_pos", "last_pos")
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = clusters.similar_groups(events.link_names(spark, folder).df)
+def _groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    names = events.link_names(spark, folder)
+    found = clusters.similar_groups(names.df)
+    names.drop()
     return found
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _groups(spark, folder)[0]
+
+
 def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    found, persistence = clusters.similar_groups(events.link_names(spark, folder).df)
-    return clusters.describe(found, persistence, table(spark, folder, "link_types"))
+    return clusters.describe(*_groups(spark, folder), table(spark, folder, "link_types"))
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:

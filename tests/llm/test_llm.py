@@ -170,199 +170,6 @@ def test_components(spark):
     assert components.components(df.where("false")).count() == 0
 
 
-def planted(rnd, n=12, size=9):
-    sets, of = {}, {}
-    k = 0
-    for c in range(n):
-        base = [f"N{c}_{j}" for j in range(8)]
-        for _ in range(rnd.choice([2, size])):
-            s = set(rnd.sample(base, rnd.randint(6, 8))) | ({f"X_{rnd.randint(0, 400)}"} if rnd.random() < 0.4 else set())
-            sets[k], of[k] = s, c
-            k += 1
-    for _ in range(15):
-        sets[k] = {f"Y_{rnd.randint(0, 10**6)}" for _ in range(6)}
-        k += 1
-    sets[k] = {"Q_1", "Q_2"}
-    sets[k + 1] = {"Q_1", "Q_2"}
-    return sets, of
-
-
-@pytest.mark.parametrize("tail", [0, 250_000])
-def test_clusters(spark, monkeypatch, tail):
-    monkeypatch.setattr(clusters, "TAIL", tail)
-    sets, of = planted(random.Random(7))
-    df = names_df(spark, sets).withColumn("n", F.lit(0))
-    found, persistence = clusters.similar_groups(df.select("link_id", "name"))
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.cluster_id, set()).add(r.link_id)
-    want = {}
-    for i, c in of.items():
-        want.setdefault(c, set()).add(i)
-    assert set(map(frozenset, got.values())) == set(map(frozenset, want.values()))
-    assert all(c == min(m) for c, m in got.items())
-    kinds = spark.createDataFrame([(i, f"t{c}") for i, c in of.items()] + [(0, None)], "link_id long, type_name string")
-    told = clusters.describe(found, persistence, kinds).collect()
-    assert {r.cluster_id: r["size"] for r in told} == {c: len(m) for c, m in got.items()}
-    assert all(r.type_share == 1.0 and set(r.typical_links) <= got[r.cluster_id] for r in told)
-    nothing, _ = clusters.similar_groups(df.select("link_id", "name").where("false"))
-    assert nothing.count() == 0
-
-
-def test_neighbour_graph_recall(spark):
-    """Of each class's five nearest neighbours within the farthest distance, at least 0.9 are reached by the candidates."""
-    import numpy as np
-
-    rnd = random.Random(8)
-    sets, _ = planted(rnd, n=20, size=40)
-    classes = sorted({tuple(sorted(s)) for s in sets.values() if len(s) >= 3})
-    code = {n: i + 1 for i, n in enumerate(sorted({x for c in classes for x in c}))}
-    rare = Counter(x for c in classes for x in c)
-    lists = [sorted((rare[x], code[x]) for x in c) for c in classes]
-    rows = sorted((l[j][1], [c for _, c in l], i) for i, l in enumerate(lists) for j in range(len(l) - math.ceil(len(l) * 0.36) + 1))
-    m = np.full((len(rows), 12), -1, np.int64)
-    for i, (_, l, _) in enumerate(rows):
-        m[i, : len(l)] = l
-    a, b, _ = clusters._pairs(np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), m, np.array([len(r[1]) for r in rows]), 0.64)
-    reached = set(zip(a.tolist(), b.tolist()))
-    hit = want = 0
-    for i, c in enumerate(classes):
-        near = sorted(((-jaccard(set(c), set(o)), j) for j, o in enumerate(classes) if j != i and jaccard(set(c), set(o)) >= 0.36))
-        top = near[:5]
-        # ties of the fifth count as found if as many equally near ones are reached
-        for d, _ in top:
-            want += 1
-        worst = top[-1][0] if top else 0
-        hit += min(len(top), sum((min(i, j), max(i, j)) in reached for d, j in near if d <= worst))
-    assert hit / want >= 0.9
-
-
-@pytest.mark.parametrize("block", [1024, 70])
-def test_neighbour_graph_is_whole_on_long_lists(spark, monkeypatch, block):
-    """Alike sets far apart in a popular name's list, as a stray rare name per link scatters them, are all joined."""
-    monkeypatch.setattr(clusters, "BLOCK", block)
-    monkeypatch.setattr(clusters, "AT_ONCE", 5000)
-    rnd = random.Random(11)
-    sets = {}
-    for c in range(60):
-        own = [f"O{c}_{j}" for j in range(2)] + rnd.sample([f"P_{j}" for j in range(9)], 6)
-        for _ in range(5):
-            sets[len(sets)] = tuple(sorted(set(own) | {f"R_{len(sets)}"}, key=lambda x: ("ROP".index(x[0]), x)))
-    df = spark.createDataFrame(list(sets.items()), "class long, names array<string>")
-    got = [tuple(r) for r in clusters.neighbour_graph(df).collect()]
-    of = {i: set(s) for i, s in sets.items()}
-    pairs = {(a, b): 1 - jaccard(of[a], of[b]) for a, b in combinations(of, 2) if jaccard(of[a], of[b]) >= 0.36}
-    assert all(abs(pairs[a, b] - d) < 1e-9 for a, b, d in got)
-
-    def parts(edges):
-        p = list(of)
-        for a, b in edges:
-            x, y = p[a], p[b]
-            p = [x if v == y else v for v in p]
-        return len(set(p))
-
-    for far in sorted({round(d, 9) for d in pairs.values()}):
-        assert parts([(a, b) for a, b, d in got if d <= far + 1e-9]) == parts([e for e, d in pairs.items() if d <= far + 1e-9])
-
-
-def test_all_pairs_of_a_list_are_compared():
-    import numpy as np
-
-    n = 3000  # every set shares the popular name 1; twins also share all of 3 to 5 and stand n / 2 apart
-    m = np.array([[1, 10 + 3 * (i % (n // 2)), 11 + 3 * (i % (n // 2)), 12 + 3 * (i % (n // 2)), 10**6 + i] for i in range(n)], np.int64)
-    a, b, d = clusters._pairs(np.zeros(n, np.int64), np.arange(n), m, np.full(n, 5), 0.64)
-    assert sorted(zip(a.tolist(), b.tolist())) == [(i, i + n // 2) for i in range(n // 2)] and np.allclose(d, 1 / 3)
-
-
-def chosen_of(edges, d, band):
-    """Weights of a minimum spanning forest in which edges beyond the band weigh 9."""
-    p, out = list(range(60)), []
-
-    def find(x):
-        while p[x] != x:
-            x = p[x]
-        return x
-
-    for w, a, b in sorted((w if w <= band else 9, *e) for e, w in zip(edges, d)):
-        if find(a) != find(b):
-            p[find(a)] = find(b)
-            out.append(w)
-    return out
-
-
-@pytest.mark.parametrize("tail", [0, 40, 10**6])
-def test_forest_is_minimal(spark, monkeypatch, tail):
-    import numpy as np
-
-    monkeypatch.setattr(clusters, "TAIL", tail)
-
-    rnd = random.Random(9)
-    edges = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(300)})
-    d = [rnd.choice([0.1, 0.3, 0.5, 0.52, 0.58, 0.65]) for _ in edges]
-
-    def kruskal(es):
-        p = list(range(60))
-
-        def find(x):
-            while p[x] != x:
-                x = p[x]
-            return x
-
-        total = n = 0
-        for w, a, b in sorted((w, *e) for e, w in zip(edges, es)):
-            if find(a) != find(b):
-                p[find(a)] = find(b)
-                total += w
-                n += 1
-        return n, round(total, 6)
-
-    keep = clusters.local_forest(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), np.array(d))
-    assert (len(keep), round(sum(d[i] for i in keep), 6)) == kruskal(d)
-    maps, trees = clusters.forest(spark.createDataFrame([(*e, w) for e, w in zip(edges, d)], "a long, b long, d double"))
-    all_ = [r for t in trees for r in t.collect()]
-    assert (len(all_), round(sum(r.d for r in all_), 6)) == kruskal(d)
-    part = list(range(60))  # the maps lead to the components of the bands
-    for i, (m, band) in enumerate(zip(maps, clusters.BANDS)):
-        to = {r.c: r.p for r in m.collect()} if m is not None else {}
-        part = [to.get(c, c) for c in part]
-        assert len(set(part)) == 60 - kruskal([w if w <= band else 9 for w in d])[0] + sum(w == 9 for w in chosen_of(edges, d, band))
-
-
-@pytest.mark.parametrize("n, joins, want", [
-    # two pairs that are formed at 0.5 last longer than their union at 0.6
-    (4, [[{0, 1}, {2, 3}], [], [{0, 1, 2, 3}], []], [{0, 1}, {2, 3}]),
-    # formed at 0.55, they don't
-    (4, [[], [{0, 1}, {2, 3}], [{0, 1, 2, 3}], []], [{0, 1, 2, 3}]),
-    # nor do they where the union at 0.55 goes on; where it soon merges again, they do, unless it has more links
-    (4, [[{0, 1}, {2, 3}], [{0, 1, 2, 3}], [], []], [{0, 1, 2, 3}]),
-    (6, [[{0, 1}, {2, 3}], [{0, 1, 2, 3}, {4, 5}], [set(range(6))], []], [{0, 1}, {2, 3}, {4, 5}]),
-    (8, [[{0, 1}, {2, 3}, {6, 7}], [{0, 1, 2, 3, 4, 5}], [set(range(8))], []], [set(range(6)), {6, 7}]),
-    # a union of the last band is kept if many links come with it only
-    (4, [[], [], [{0, 1}, {2, 3}], [{0, 1, 2, 3}]], [{0, 1}, {2, 3}]),
-    (8, [[], [], [{0, 1}, {2, 3}], [set(range(8))]], [set(range(8))]),
-])
-def test_selection_depends_on_the_data(spark, n, joins, want):
-    maps, at = [], list(range(n))
-    for groups in joins:
-        to = {at[x]: min(at[y] for y in g) for g in groups for x in g}
-        maps.append(spark.createDataFrame(sorted(to.items()), "c long, p long") if to else None)
-        at = [to.get(c, c) for c in at]
-    got = {}
-    for r in clusters.select_clusters(spark.createDataFrame([(i, 1) for i in range(n)], "class long, copies long"), maps).collect():
-        got.setdefault(r.cluster, set()).add(r["class"])
-    assert sorted(got.values(), key=min) == want
-
-
-def test_mutual_reachability(spark):
-    e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.3), (1, 3, 0.6)], "a long, b long, d double")
-    assert clusters.mutual_reachability(e) is e
-    got = {(r.a, r.b): r.d for r in clusters.mutual_reachability(e, 2).collect()}
-    assert got == {(1, 2): 0.6, (2, 3): 0.6, (1, 3): 0.6}
-
-
-TEXTS = ["", None, "   a  b\n\n  c", "a" * 3000, " " * 2000, "-" * 500 + "=-" * 200, "it's we'll <|endoftext|> I'm", "日本語テキスト" * 20, "  x　y 12345 ½", "naïve café"]
-
-
 def test_token_ids(spark):
     import tokenizers
 
