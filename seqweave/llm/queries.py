@@ -65,7 +65,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.links_and_types(events.link_names(spark, folder).df, form_names(table(spark, folder, "type_forms")))
+    names = events.link_names(spark, folder)
+    found = overlap.links_and_types(names.df, form_names(table(spark, folder, "type_forms")))
+    names.drop()
+    return found
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

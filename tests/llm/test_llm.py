@@ -129,14 +129,15 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("small", [0, 4, 6, 20])
-def test_overlap(spark, small, monkeypatch):
+@pytest.mark.parametrize("small, meetings", [(0, 10**6), (0, 50), (4, 50), (6, 10**6), (20, 7)])
+def test_overlap(spark, small, meetings, monkeypatch):
     rnd = random.Random(5)
     left = {i: set(rnd.sample("ABCDEFGHIJKL", rnd.randint(1, 9))) for i in range(80)}
     right = {f"t{i}": set(rnd.sample("ABCDEFGHIJKL", rnd.randint(1, 8))) for i in range(60)}
     left[80], left[81], right["t60"] = set("ABC"), set("ABC"), set("ABCDE")
     monkeypatch.setattr(overlap.similar_sets, "__defaults__", (3, 5, min(small, 8)))
-    monkeypatch.setattr(overlap, "BROADCAST_ELEMENTS", 0 if small in (4, 20) else 500_000)
+    monkeypatch.setattr(overlap, "MEETINGS", meetings)
+    left[82], right["t61"] = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("?!")
     got = [(r.link_id, r.type_name) for r in overlap.links_and_types(names_df(spark, left), names_df(spark, right, "type_name", "string")).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(i, t) for i, a in left.items() for t, b in right.items() if len(a & b) * 5 >= 3 * len(a | b)}
