@@ -104,12 +104,19 @@ class _Sets:
         bit = np.uint64(1) << ((self.flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
         self.bits = np.zeros(len(self.size), np.uint64)
         np.bitwise_or.at(self.bits, np.repeat(np.arange(len(self.size)), self.size), bit)
-
-    def padded(self, rows: np.ndarray, width: int, by: int) -> np.ndarray:
-        """The lists of some rows as a matrix, filled up with ``by``."""
-        at = np.arange(width)
-        here = at < self.size[rows][:, None]
-        return np.where(here, self.flat[np.where(here, self.start[rows][:, None] + at, 0)], by)
+        self.matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def matrix(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of up to ``width`` elements filled up with -1, a row each, and the row of each list."""
+        if width not in self.matrices:
+            own = np.flatnonzero(self.size <= width)
+            row = np.full(len(self.size), -1)
+            row[own] = np.arange(len(own))
+            m = np.full((len(own), width), -1, np.int64)
+            at = np.repeat(row, self.size)
+            m[at[at >= 0], (np.arange(len(self.flat)) - np.repeat(self.start, self.size))[at >= 0]] = self.flat[at >= 0]
+            self.matrices[width] = m, row
+        return self.matrices[width]
 
     def shared(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many elements rows i and j share, and the first of them."""
@@ -119,15 +126,17 @@ class _Sets:
         while done < WIDE:  # sets of about one size together
             upto = max(8, 2 * done)
             own = np.flatnonzero((width > done) & (width <= upto))
-            for lo in range(0, len(own), 50_000):
-                at = own[lo : lo + 50_000]
-                p, q = self.padded(i[at], upto, -1), self.padded(j[at], upto, -2)
+            for lo in range(0, len(own), 20_000):
+                m, row = self.matrix(upto)
+                at = own[lo : lo + 20_000]
+                p, q = (np.ascontiguousarray(m[row[x[at]]].T) for x in (i, j))
                 count, least = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
-                for k in range(upto):
-                    c = p[:, k]
-                    hit = (q == c[:, None]).any(axis=1)
-                    new = hit & (count == 0)
-                    least[new] = c[new]
+                for c in p[::-1]:
+                    hit = q[0] == c
+                    for e in q[1:]:
+                        hit |= e == c
+                    hit &= c >= 0
+                    least = np.where(hit, c, least)
                     count += hit
                 n[at], first[at] = count, least
             done = upto
