@@ -56,8 +56,9 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq_id", "hi", "lo") % F.lit(1 << 40)).alias("h")).first()
-    return r.n, r.h
+    """Number of the edges and two 64-bit hashes of the set of them."""
+    h = [F.sum(F.xxhash64(F.lit(seed), "seq_id", "hi", "lo").cast("decimal(20,0)")) for seed in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *h).first())
 
 
 def large_star(edges: DataFrame) -> DataFrame:

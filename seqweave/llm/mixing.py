@@ -8,6 +8,7 @@ shifted by the sums of the chunks before, so a source that holds most documents
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.naming import source_name
 from seqweave.llm.bpe import TOKENIZERS, token_counts
-from seqweave.session import Written, partitions, ship, write_table
+from seqweave.session import Written, partitions, ship, tables, write_table
 
 #: Rows of the per-chunk sums (chunks times groups) that are sent to every task; more are joined by shuffle.
 BROADCAST_SUMS = 500_000
@@ -86,6 +87,23 @@ def _held(docs: DataFrame) -> DataFrame:
     return held.select("source", "held", "share", (F.col("held") * F.col("repeats") / F.col("share")).alias("room"))
 
 
+def _horizon(sources: list, budget: float) -> float:
+    """A virtual time that no document within the budget finishes after.
+
+    Up to time v each source has put out its share of v, but for its largest document at most, or all it may give. Past
+    the time at which that makes up the budget, nothing gets in. ``sources`` have ``share, most, all_`` (what it may give).
+    """
+    v, total, rate = 0.0, -sum(s.most for s in sources), sum(s.share for s in sources)
+    for s in sorted(sources, key=lambda s: s.all_ / s.share):
+        end = s.all_ / s.share
+        if rate > 0 and total + rate * (end - v) >= budget:
+            break
+        total, v, rate = total + rate * (end - v), end, rate - s.share
+    else:
+        return float("inf")
+    return v + (budget - total) / rate * (1 + 1e-9)
+
+
 def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42) -> DataFrame:
     """The mixture in its order: ``doc_id, source, copy, tokens, finish, position_tokens``.
 
@@ -94,19 +112,26 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     by default the largest at which no source that has documents runs out, so that all of them keep their shares.
     Sources without documents, or of a share of 0 or less or null, give nothing, and the others share what they leave
     in proportion; beyond that total a source that has run out gives less. Documents of other or null sources and
-    those without tokens aren't taken.
+    those without tokens aren't taken. Copies that can't get in any more are never built.
     """
     docs = _usable(sized, targets)
+    # One row for each source that has a target.
+    sources = docs.groupBy("source").agg(F.sum("tokens").alias("held"), F.max("tokens").alias("most"), F.first("target_share").alias("share"), F.first("max_repeats").alias("repeats")).withColumn("all_", F.col("held") * F.col("repeats")).collect()
     if budget is None:
-        r = _held(docs).agg(F.min("room").alias("v"), F.sum("share").alias("shares")).first()
-        budget = int(r.v * r.shares) if r.v is not None else 0
-    queue = docs.select(
-        "source", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))).alias("copy"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("shuffled"),
-        "doc_id", "tokens", "target_share",
+        budget = math.floor(round(min(s.all_ / s.share for s in sources) * math.fsum(s.share for s in sources), 6)) if sources else 0
+    last = _horizon(sources, budget)
+    taken = [(s.source, min(s.repeats, 1 + math.floor(min(last, s.all_ / s.share) * s.share / s.held))) for s in sources]
+    copies = docs.sparkSession.createDataFrame(taken, "source string, copies int")
+    # The first hexadecimal digits of a digest put a source's documents in an order that has nothing to do with them.
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", "source")), 1, 15), 16, 10).cast("long")
+    queue = docs.join(copies, "source").select(
+        "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), shuffled.alias("shuffled"), "doc_id", "tokens", "target_share",
     )
-    summed, _ = running_sum(queue, "source", ["copy", "shuffled", "doc_id"], "tokens", "queued")
-    timed = summed.select("doc_id", "source", "copy", "tokens", (F.col("queued") / F.col("target_share")).alias("finish"), F.lit("all").alias("everything"))
-    merged, _ = running_sum(timed, "everything", ["finish", "source", "doc_id", "copy"], "tokens", "position_tokens")
+    with tables() as kept:
+        summed, _ = running_sum(queue, "source", ["copy", "shuffled", "doc_id"], "tokens", "queued")
+        timed = summed.select("doc_id", "source", "copy", "tokens", (F.col("queued") / F.col("target_share")).alias("finish"), F.lit("all").alias("everything"))
+        merged, w = running_sum(timed.where(F.col("finish") <= last), "everything", ["finish", "source", "doc_id", "copy"], "tokens", "position_tokens")
+        kept.append(w)
     return merged.where(F.col("position_tokens") <= budget).select("doc_id", "source", "copy", "tokens", "finish", "position_tokens")
 
 

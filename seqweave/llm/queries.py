@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.functions.naming import event_name
+from seqweave.functions.naming import event_name, source_name
 from seqweave.llm import bpe, clusters, components, cooccurrence, events, mixing, overlap, runs, terms, visual
 from seqweave.sources.tables import table
 
@@ -84,6 +84,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(table(spark, folder, "documents"))
 
 
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids decoded again: every text comes back as it was, null ones empty."""
+    return bpe.texts(p7_ids(spark, folder))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(mixing.sized_documents(table(spark, folder, "documents")).df, table(spark, folder, "source_targets"))
 
@@ -93,16 +98,35 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.mix(sized, targets), targets, sized)
 
 
+def _sized_in_characters(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", source_name(F.col("source")).alias("source"), F.length("text").cast("long").alias("tokens"))
+
+
+def p8_mix_characters(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p8_mix``, with characters for tokens, which SQL can count."""
+    return mixing.mix(_sized_in_characters(spark, folder), table(spark, folder, "source_targets"))
+
+
+def p8_report_characters(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p8_report``, with characters for tokens."""
+    sized, targets = _sized_in_characters(spark, folder), table(spark, folder, "source_targets")
+    return mixing.report(mixing.mix(sized, targets), targets, sized)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.look_alikes(table(spark, folder, "documents"))
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.look_classes(table(spark, folder, "documents"))
+
+
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.unified(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (p1_found, p1_runs, p2_found, p2_clusters, p3_found, p3_counts, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_pairs, p6_found, p7_ids, p8_mix, p8_report, p9_found, p9_forms)
+    all_ = (p1_found, p1_runs, p2_found, p2_clusters, p3_found, p3_counts, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_pairs, p6_found, p7_ids, p7_texts, p8_mix, p8_mix_characters, p8_report, p8_report_characters, p9_found, p9_classes, p9_forms)
     return {f.__name__: f for f in all_}
 
 
@@ -133,6 +157,20 @@ two AS (SELECT a.name AS token_a, b.name AS token_b, count(*) AS n_ab FROM ln a
 """
 _FORMS = f"""fn AS (SELECT DISTINCT type_name, name FROM (SELECT type_name, {_name('token')} AS name FROM (SELECT type_name, unnest(tokens) AS token FROM type_forms WHERE type_name IS NOT NULL)) WHERE name IS NOT NULL)"""
 
+_SOURCE = r"nullif(regexp_replace(lower(trim(regexp_replace(source, '[\s\x{00a0}]+', ' ', 'g'))), '[\s\-]+', '_', 'g'), '')"
+_MIX = f"""WITH t AS (SELECT source, any_value(target_share) AS share, any_value(max_repeats) AS r FROM (SELECT {_SOURCE} AS source, target_share, coalesce(max_repeats, 1) AS max_repeats FROM source_targets) GROUP BY source),
+d AS (SELECT doc_id, source, tokens, share, r FROM (SELECT doc_id, {_SOURCE} AS source, length(text) AS tokens FROM documents) JOIN t USING (source) WHERE tokens > 0 AND share > 0 AND r > 0),
+h AS (SELECT source, sum(tokens) AS held, sum(tokens) * any_value(r) / any_value(share) AS room, any_value(share) AS share FROM d GROUP BY source),
+b AS (SELECT floor(round(min(room) * sum(share), 6)) AS budget, min(room) AS least FROM h),
+q AS (SELECT source, CAST(copy AS INTEGER) AS copy, doc_id, tokens, share, CAST('0x' || substr(md5(concat_ws('|', '42', doc_id, source)), 1, 15) AS BIGINT) AS shuffled FROM d, unnest(range(1, r + 1)) AS u(copy)),
+f AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY copy, shuffled, doc_id) AS DOUBLE) / share AS finish FROM q),
+p AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY finish, source, doc_id, copy) AS BIGINT) AS position_tokens FROM f),
+m AS (SELECT doc_id, source, copy, tokens, finish, position_tokens FROM p, b WHERE position_tokens <= budget)
+"""
+_REPORT = """own AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS taken, count(*) FILTER (copy = 1) AS documents, coalesce(sum(tokens) FILTER (copy = 1), 0) AS once FROM m GROUP BY source)
+SELECT source, t.share AS target_share, coalesce(own.tokens, 0) / CAST(greatest((SELECT sum(tokens) FROM m), 1) AS DOUBLE) AS actual_share, coalesce(own.tokens, 0) AS tokens, coalesce(taken, 0) AS taken, coalesce(documents, 0) AS documents,
+CAST(coalesce(held, 0) - coalesce(once, 0) AS BIGINT) AS unused, coalesce(room = least, false) AS binds FROM t LEFT JOIN own USING (source) LEFT JOIN h USING (source), b"""
+
 
 def oracle_sql() -> dict[str, str]:
     overlap_sql = f"""WITH {_EVENTS}, {_LINKS}, {_FORMS},
@@ -149,6 +187,9 @@ s AS (SELECT link_id, type_name, count(*) AS shared FROM ln JOIN fn USING (name)
         "p3_counts": _COUNTS + "SELECT token, n_events, n_sequences, mark FROM found",
         "p4_found": _PAIRS + f"SELECT token_a, token_b {pair}",
         "p5_found": overlap_sql + "SELECT link_id, type_name FROM s JOIN x USING (link_id) JOIN y USING (type_name) WHERE 5 * shared >= 3 * (x + y - shared)",
+        "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_mix_characters": _MIX + "SELECT * FROM m",
+        "p8_report_characters": _MIX.rstrip() + ",\n" + _REPORT,
         "p6_found": """WITH RECURSIVE e AS (SELECT DISTINCT seq_id, a, b FROM (SELECT seq_id, one AS a, two AS b FROM edges UNION ALL SELECT seq_id, two, one FROM edges) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 reach(seq_id, pos, g) AS (SELECT DISTINCT seq_id, a, a FROM e UNION SELECT e.seq_id, e.b, r.g FROM reach r JOIN e ON e.seq_id = r.seq_id AND e.a = r.pos WHERE r.g < e.b)
 SELECT seq_id, min(g) AS group_pos, pos FROM reach GROUP BY seq_id, pos""",

@@ -161,19 +161,25 @@ def routes(terms: DataFrame, most: int) -> list[str]:
             return crowded
         found = [r.prefix for r in level]
         crowded += found
-        under = under.where(F.substring("term", 1, depth).isin(found))
+        under = under.join(_prefixes(terms, found), F.substring("term", 1, depth) == F.col("crowded"), "left_semi")
 
 
-def route(crowded: list[str]):
-    """The shortest prefix of ``term`` that isn't crowded."""
+def _prefixes(rows: DataFrame, prefixes: list[str]) -> DataFrame:
+    """``crowded``: prefixes as a table, sent to every task (their number is bounded, see :func:`routes`); in the plan it is one leaf."""
+    return F.broadcast(rows.sparkSession.createDataFrame([(p,) for p in prefixes], "crowded string"))
+
+
+def routed(rows: DataFrame, crowded: list[str]) -> DataFrame:
+    """Adds ``route``, the shortest prefix of ``term`` that isn't crowded."""
     by_depth: dict[int, list[str]] = {}
     for p in crowded:
         by_depth.setdefault(len(p), []).append(p)
     depths = sorted(by_depth)
     out = F.substring("term", 1, (depths[-1] if depths else 0) + 1)
     for d in reversed(depths):
-        out = F.when(F.substring("term", 1, d).isin(by_depth[d]), out).otherwise(F.substring("term", 1, d))
-    return out
+        rows = rows.join(_prefixes(rows, by_depth[d]).withColumnRenamed("crowded", f"crowded{d}"), F.substring("term", 1, d) == F.col(f"crowded{d}"), "left")
+        out = F.when(F.col(f"crowded{d}").isNotNull(), out).otherwise(F.substring("term", 1, d))
+    return rows.withColumn("route", out).drop(*(f"crowded{d}" for d in depths))
 
 
 def term_counts(ptb: DataFrame, vocabulary: DataFrame, rare_below: int = 3, common_above: float = 0.5) -> DataFrame:
@@ -196,10 +202,10 @@ def term_counts(ptb: DataFrame, vocabulary: DataFrame, rare_below: int = 3, comm
     n = rows.count()
     crowded = routes(rows.select("term"), max(1000, n // (8 * parts)))
     counts = (
-        rows.repartition(parts, route(crowded))
+        routed(rows, crowded).repartition(parts, "route").drop("route")
         .mapInArrow(_merged, COUNTS)
         .where("listed")
     )
-    sequences = ptb.select("seq_id").distinct().count()
+    sequences = ptb.where("seq_id is not null").select("seq_id").distinct().count()
     mark = F.when(F.col("n_sequences") < rare_below, "rare").when(F.col("n_sequences") > common_above * sequences, "common")
     return counts.select(F.col("term").alias("token"), "n_events", "n_sequences", mark.alias("mark"))

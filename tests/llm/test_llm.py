@@ -87,7 +87,7 @@ def test_burst_trie_against_a_dict():
 def test_routes_split_crowded_prefixes(spark):
     df = spark.createDataFrame([("aaaa%03d" % i,) for i in range(300)] + [("b",), ("",), ("aaaa",)] * 3, "term string")
     crowded = terms.routes(df, 40)
-    routed = df.withColumn("r", terms.route(crowded))
+    routed = terms.routed(df, crowded).withColumnRenamed("route", "r")
     assert "aaaa" in crowded
     assert routed.groupBy("r").count().agg(F.max("count")).first()[0] <= 100
     assert routed.groupBy("term").agg(F.countDistinct("r").alias("n")).where("n > 1").count() == 0
@@ -171,6 +171,9 @@ def test_components(spark):
     assert components.components(df.where("false")).count() == 0
 
 
+TEXTS = ["", None, "   a  b\n\n  c", "a" * 3000, " " * 2000, "-" * 500 + "=-" * 200, "it's we'll <|endoftext|> I'm", "日本語テキスト" * 20, "  x　y 12345 ½", "naïve café"]
+
+
 def test_token_ids(spark):
     import tokenizers
 
@@ -187,6 +190,28 @@ def test_token_ids(spark):
     assert n == {i: len(x) for i, x in got.items()}
 
 
+def test_long_words():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices(letters, k=n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "щжыё", "=-_", "é\u0301a") for n in (49, 300, 3000)]
+    words += ["a" * 20_000, "=" * 5001, "the" * 900, "internationalisation" * 60, " " * 777 + "x"]
+    e = bpe.Encoder(bpe.TOKENIZERS, "byte_bpe_50k.json")
+    assert e.ordered
+    for ordered in (True, False):  # out of turn or not, the ids are the same
+        e.known, e.ordered = {}, ordered
+        assert bpe.encode_batch(e, words).to_pylist() == [x.ids for x in t.encode_batch(words, add_special_tokens=False)]
+
+
+def test_ids_decode_to_the_texts(spark):
+    texts = ["", "a  b\n", "naïve \U0001f469\u200d\U0001f52c", "x" * 5000, "\u2028", "<|endoftext|>", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    assert [r.text for r in bpe.texts(bpe.token_ids(df)).orderBy("doc_id").collect()] == [t or "" for t in texts]
+    assert bpe.texts(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text is None
+    assert bpe.texts(bpe.token_ids(df.where("false"))).count() == 0
+
+
 def test_the_encoder_forgets_and_goes_on(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     monkeypatch.setattr(bpe, "SYMBOLS", 40)
@@ -223,6 +248,9 @@ def test_mixing(spark):
     more = mixing.mix(sized, targets, budget=10**9)
     assert more.agg(F.sum("tokens")).first()[0] == held["big"] + 2 * held["mid_size"] + 3 * held["small"]
     assert mixing.mix(sized.where("false"), targets).count() == 0
+    for part in (1, 40, budget // 3, int(budget * 1.5)):  # copies that aren't built wouldn't have got in
+        got = {(r.source, r.doc_id, r.copy, r.position_tokens) for r in mixing.mix(sized, targets, budget=part).collect()}
+        assert got == {(r.source, r.doc_id, r.copy, r.position_tokens) for r in more.where(F.col("position_tokens") <= part).collect()}
 
 
 def test_the_report_names_the_source_that_binds(spark):
@@ -247,37 +275,51 @@ SAME = [
     ("café", "café"), ("ＡＢ x", "AB x"), ("a b", "a b"), ("a b", "a b"), ("a​b﻿", "ab"), ("co­op", "coop"), ("аbc", "abc"),
     ("K", "K"), ("µm", "μm"), ("ﬁn", "fin"), ("a‑b", "a-b"), ("ё", "ë"), ("й", "й"), ("e​́", "é"), ("a\r\nb", "a\nb"), ("ﾊﾟ", "パ"), ("ạ́", "ạ́"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("x²", "x2"), ("a-b", "a–b"), ("–", "—"), ("a b", "ab"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("й", "и"), ("a  b", "a b"), ("1", "l")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("x²", "x2"), ("a-b", "a–b"), ("–", "—"), ("a b", "ab"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("й", "и"), ("a  b", "a b"), ("1", "l"), ("ı", "i"), ("α", "a"), ("г", "r"), ("æ", "ae"), ("I", "l"), ("Л", "Λ"), ("Ю", "IO"), ("½", "1/2"), ("ſ", "f"), ("О", "0")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
-def test_same_look(a, b):
-    assert visual.one_form(a) == visual.one_form(b)
+def test_same_look(spark, a, b):
+    form = visual.one_form(spark)
+    assert form(a) == form(b)
 
 
 @pytest.mark.parametrize("a,b", DIFFERENT)
-def test_different_look(a, b):
-    assert visual.one_form(a) != visual.one_form(b)
+def test_different_look(spark, a, b):
+    form = visual.one_form(spark)
+    assert form(a) != form(b)
 
 
-def test_forms_are_stable():
+def test_forms_are_stable(spark):
+    form = visual.one_form(spark)
     chars = [chr(n) for n in range(0x80, 0x3000) if not 0xD800 <= n < 0xE000]
     rnd = random.Random(12)
     for _ in range(3000):
         t = "".join(rnd.choices(chars + list("abc ́̈​‍"), k=rnd.randint(1, 6)))
-        f = visual.one_form(t)
-        assert visual.one_form(f) == f, ascii(t)
-    assert visual.one_form(None) is None and visual.one_form("") == ""
+        f = form(t)
+        assert form(f) == f, ascii(t)
+    assert form(None) is None and form("") == ""
+
+
+def test_the_mapping_matches_the_longest():
+    t = visual.Transducer({"ж": "1", "жы": "2", "жыщ": "", "\r\n": "n", "\r": "r"})
+    assert t.walk("жыщжыжъ") == "21ъ" and t("\r\n\r") == "nr"
 
 
-def test_look_alikes(spark):
+@pytest.mark.parametrize("meetings", [10**6, 3])
+def test_look_alikes(spark, monkeypatch, meetings):
+    monkeypatch.setattr(visual, "MEETINGS", meetings)
     texts = [x for p in SAME for x in p] + [x for p in DIFFERENT for x in p] + [None, "", " ", "​", " ", "same", "same"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("form", F.lit("clash"))
-    got = {tuple(r) for r in visual.look_alikes(df).collect()}
-    form = [visual.one_form(t) for t in texts]
-    assert got == {(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and texts[j] and form[i].strip() and form[i] == form[j] and texts[i] != texts[j]}
+    rows = [tuple(r) for r in visual.look_alikes(df).collect()]
+    got, form = set(rows), list(map(visual.one_form(spark), texts))
+    assert len(rows) == len(got) and got == {(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and texts[j] and form[i].strip() and form[i] == form[j] and texts[i] != texts[j]}
     assert all((2 * i, 2 * i + 1) in got for i in range(len(SAME)))
-    assert visual.unified(df).count() == len(texts) and visual.look_alikes(df.where("false")).count() == 0
+    assert [r.form for r in visual.unified(df).orderBy("doc_id").collect()] == form
+    of = {r.doc_id: (r.class_id, r.same_text) for r in visual.look_classes(df).collect()}
+    assert of.keys() == {i for p in got for i in p}
+    assert all(c == min(j for j in of if form[j] == form[i]) and t == min(j for j in of if texts[j] == texts[i]) for i, (c, t) in of.items())
+    assert visual.look_alikes(df.where("false")).count() == 0
 
 
 def test_link_names(spark, tmp_path):
