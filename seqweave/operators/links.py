@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.operators.sequence import token_sequence
 from seqweave.session import Written, write_table
 
 
@@ -18,12 +19,14 @@ def link_edges(pairs: DataFrame, prob: DataFrame, thresholds: DataFrame) -> Data
     return pairs.join(strong, ["k", "ctx", "nxt"], "left_semi").select("seq_id", "k", "one", "two")
 
 
-def delta_edges(sequence: DataFrame, pairs: DataFrame, deltas: DataFrame, vocab: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """As :func:`link_edges`, by the rise of the probability since the position before instead of the probability."""
-    label = pairs.join(vocab.withColumnRenamed("token", "nxt"), "nxt").select("seq_id", "k", "one", "two", "nxt", "token_id")
-    at = deltas.withColumnRenamed("pos", "one")
-    scored = label.join(at, ["seq_id", "k", "one", "token_id"]).join(thresholds, F.col("nxt") == F.col("token"))
-    return scored.where("delta >= threshold").select("seq_id", "k", "one", "two")
+def delta_edges(pairs: DataFrame, deltas: DataFrame, rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """As :func:`link_edges`, by the rise of the probability since the position before instead of the probability.
+
+    ``deltas`` has ``seq_id, pos, k, token, delta`` where it isn't 0, ``rows`` the ``k, ctx`` that have a row at all.
+    """
+    at = deltas.select("seq_id", "k", F.col("pos").alias("one"), F.col("token").alias("nxt"), "delta")
+    scored = pairs.join(rows.select("k", "ctx"), ["k", "ctx"], "left_semi").join(at, ["seq_id", "k", "one", "nxt"], "left").join(thresholds, F.col("nxt") == thresholds.token)
+    return scored.where(F.coalesce("delta", F.lit(0.0)) >= F.col("threshold")).select("seq_id", "k", "one", "two")
 
 
 def score_edges(pairs: DataFrame, scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -96,6 +99,16 @@ def link_groups_merged(edges: DataFrame) -> DataFrame:
     return _membership(label.df)
 
 
+def numbered_links(groups: DataFrame) -> DataFrame:
+    """``seq_id, link_id, pos`` with links numbered over all sequences, in the order of sequence and least position.
+
+    ``groups`` are named by their least position, so each has one row at which it is its own name.
+    """
+    heads = groups.where("pos = link_id").select(F.lit(0).alias("all"), "seq_id", "link_id", F.struct("seq_id", "link_id").alias("group"))
+    number = token_sequence(heads, "all", ["seq_id", "link_id"], "group").select(F.col("token.seq_id").alias("seq_id"), F.col("token.link_id").alias("link_id"), F.col("pos").alias("number"))
+    return groups.join(number, ["seq_id", "link_id"]).select("seq_id", F.col("number").alias("link_id"), "pos")
+
+
 def link_contents(members: DataFrame, sequence: DataFrame) -> DataFrame:
     """``seq_id, link_id, tokens``: the tokens at a link's positions in their order; unknown positions add nothing."""
     rows = members.where("pos is not null").select("seq_id", "link_id", "pos").distinct().join(sequence.select("seq_id", "pos", "token"), ["seq_id", "pos"])

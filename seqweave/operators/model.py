@@ -59,6 +59,21 @@ def probability_deltas(sequence: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("seq_id", "pos", "k", F.posexplode(delta).alias("token_id", "delta")).withColumn("token_id", F.col("token_id").cast("long"))
 
 
+def sparse_deltas(sequence: DataFrame, prob: DataFrame) -> DataFrame:
+    """``seq_id, pos, k, token, delta`` of the tokens that were or are probable; all other cells are 0.
+
+    Grows with what the model has seen, not with the vocabulary: the rows of ``probability_deltas`` but those where both
+    probabilities are 0.
+    """
+    ctx = blocked(sequence, 0, 1).withColumn("before", F.lag("token").over(in_block())).where("own").select("seq_id", "pos", "token", "before")
+    p = prob.select("k", F.col("ctx").alias("of"), F.col("nxt").alias("token"), "p")
+    at = [ctx.select("seq_id", "pos", F.col(c).alias("of")).join(p, "of").select("seq_id", "pos", "k", "token", (F.col("p") * sign).alias("delta")) for c, sign in (("token", 1.0), ("before", -1.0))]
+    known = prob.select("k", F.col("ctx").alias("of")).distinct()  # a context never seen has no row to subtract from
+    now = ctx.select("seq_id", "pos", F.col("token").alias("of")).join(known, "of").select("seq_id", "pos", "k")
+    both = at[0].unionByName(at[1].join(now, ["seq_id", "pos", "k"], "left_semi"))
+    return both.groupBy("seq_id", "pos", "k", "token").agg(F.sum("delta").alias("delta"))
+
+
 def matrix_shape(sequence: DataFrame, rows: DataFrame) -> DataFrame:
     """``k, n_rows, n_columns`` of the probability matrix of each offset."""
     size = rows.select("k", "ctx", F.size("p").alias("n_columns"))

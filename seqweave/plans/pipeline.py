@@ -7,17 +7,27 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.operators import links, model, rewrite, sequence, types
+from seqweave.operators import links, model, rewrite, sequence, thresholds, types
 from seqweave.operators.network import NetworkEstimator, scores
-from seqweave.operators.thresholds import two_means_thresholds, value_weights
 from seqweave.schema import Params
-from seqweave.session import write_table
+from seqweave.session import tables, write_table
+
+
+@dataclass
+class Found:
+    """What links are made of: edges, probabilities, thresholds, and deltas if they were asked for."""
+
+    edges: DataFrame
+    prob: DataFrame
+    thresholds: DataFrame
+    deltas: DataFrame | None = None
 
 
 @dataclass
 class Layer:
     vocabulary: DataFrame
     prob: DataFrame
+    deltas: DataFrame | None
     thresholds: DataFrame
     edges: DataFrame
     linkset: DataFrame
@@ -30,33 +40,55 @@ class Layer:
         return rewrite.split_sequence(self.compressed, params.test_share, params.valid_share)
 
     def save(self, folder: str, params: Params) -> None:
-        """All tables of the layer under ``folder``; probabilities by offset, the compressed sequence by split."""
+        """All tables of the layer under ``folder``; probabilities and deltas by offset, the compressed sequence by split."""
         for name in ("vocabulary", "thresholds", "edges", "linkset", "link_types", "type_forms", "uncompressed"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-        self.prob.write.mode("overwrite").partitionBy("k").parquet(f"{folder}/prob")
+        for name in ("prob", "deltas"):
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").partitionBy("k").parquet(f"{folder}/{name}")
         self.split(params).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/compressed")
 
 
-def find_edges(seq: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges, probabilities and thresholds of a sequence."""
+def learnt_thresholds(values: DataFrame, params: Params) -> DataFrame:
+    """Written ``token, threshold`` of weighted values ``token, p, w``."""
+    found = thresholds.two_means_thresholds(values) if params.k_means == 2 else thresholds.k_means_thresholds(values, params.k_means, params.k_means_rounds)
+    return write_table(found, "thresholds").df
+
+
+def find_edges(seq: DataFrame, params: Params, stored: DataFrame | None = None) -> Found:
+    """Edges of a sequence by the probabilities of its model, which is trained, or ``stored`` by an earlier run (``do_train=False``)."""
     pairs = sequence.lookahead_pairs(seq, params.lookahead)
+    if not params.do_train and stored is None:
+        raise ValueError("without training, stored probabilities are needed")
     if params.estimator == "network":
-        vocab = sequence.vocabulary(seq)
-        net = NetworkEstimator(params.lookahead, params.window, params.embedding, params.network_layers, params.epochs, params.epoch_increment, params.seed).fit(seq, vocab)
-        scored = write_table(scores(net.transform(seq, vocab), vocab), "scores").df
-        values = scored.groupBy("token", "p").agg(F.count("*").alias("w"))
-        thresholds = write_table(two_means_thresholds(values), "thresholds").df
-        return links.score_edges(pairs, scored, thresholds), scored, thresholds
-    prob = write_table(model.MarkovEstimator(params.lookahead).fit(seq).prob, "prob").df
-    if params.score_source == "delta":
-        vocab = sequence.vocabulary(seq)
-        deltas = model.probability_deltas(seq, model.probability_rows(prob, vocab))
-        values = deltas.where("delta >= 0").join(vocab, "token_id").groupBy("token", F.col("delta").alias("p")).agg(F.count("*").alias("w"))
-        thresholds = write_table(two_means_thresholds(values), "thresholds").df
-        return links.delta_edges(seq, pairs, deltas, vocab, thresholds), prob, thresholds
-    seen = prob if params.sample is None else model.sampled(prob, params.sample, params.seed, ["k", "ctx", "nxt"])
-    thresholds = write_table(two_means_thresholds(value_weights(seen)), "thresholds").df
-    return links.link_edges(pairs, prob, thresholds), prob, thresholds
+        if params.do_train:
+            vocab = sequence.vocabulary(seq)
+            net = NetworkEstimator(params.lookahead, params.window, params.embedding, params.network_layers, params.epochs, params.epoch_increment, params.seed).fit(seq, vocab)
+            stored = write_table(scores(net.transform(seq, vocab), vocab), "scores").df
+        some = stored if params.sample is None else model.sampled(stored, params.sample, params.seed, ["seq_id", "k", "pos"])
+        learnt = learnt_thresholds(some.groupBy("token", "p").agg(F.count("*").alias("w")), params)
+        return Found(links.score_edges(pairs, stored, learnt), stored, learnt)
+    prob = write_table(model.MarkovEstimator(params.lookahead).fit(seq).prob, "prob").df if params.do_train else stored
+    some = pairs if params.sample is None else model.sampled(pairs, params.sample, params.seed, ["seq_id", "k", "one"])
+    seen = prob if params.sample is None else write_table(thresholds.rows_of(prob, some), "rows").df
+    deltas = None
+    if params.do_deltify or params.score_source == "delta":
+        deltas = write_table(model.sparse_deltas(seq, prob), "deltas").df
+    if params.score_source != "delta":
+        learnt = learnt_thresholds(thresholds.value_weights(seen), params)
+        return Found(links.link_edges(pairs, prob, learnt), prob, learnt, deltas)
+    rows = prob.select("k", "ctx").distinct()
+    at = seq.join(rows.withColumnRenamed("ctx", "token"), "token").select("seq_id", "pos", "k")
+    near = deltas
+    if params.sample is not None:
+        at, near = (model.sampled(x, params.sample, params.seed, ["seq_id", "k", "pos"]) for x in (at, near))
+    every = at.count()
+    held = near.groupBy("token").agg(F.count("*").alias("n"))
+    above = near.where("delta > 0").groupBy("token", F.col("delta").alias("p")).agg(F.count("*").alias("w"))
+    nought = near.groupBy("token").agg(F.sum((F.col("delta") == 0).cast("long")).alias("nought"))
+    zero = held.join(nought, "token").select("token", F.lit(0.0).alias("p"), (F.lit(every) - F.col("n") + F.col("nought")).alias("w")).where("w > 0")
+    learnt = learnt_thresholds(above.unionByName(zero), params)
+    return Found(links.delta_edges(pairs, deltas, rows, learnt), prob, learnt, deltas)
 
 
 def cluster_and_rewrite(seq: DataFrame, linkset: DataFrame, previous_forms: DataFrame | None, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,17 +110,20 @@ def cluster_and_rewrite(seq: DataFrame, linkset: DataFrame, previous_forms: Data
     return link_types, forms, rewrite.update_dataset(seq, linkset, link_types)
 
 
-def run_layer(seq: DataFrame, previous_forms: DataFrame | None, params: Params) -> Layer:
+def run_layer(seq: DataFrame, previous_forms: DataFrame | None, params: Params, stored: DataFrame | None = None) -> Layer:
     """One layer over ``seq_id, pos, token`` with dense positions. ``link_id`` is unique over all sequences in the result."""
-    edges, prob, thresholds = find_edges(seq, params)
-    edges = write_table(edges, "edges").df
-    group = (links.link_groups_merged if params.merged_groups else links.link_groups)(edges)
-    # Groups are named by a position; one hash of sequence and position names them over all sequences.
-    linkset = write_table(group.select("seq_id", F.xxhash64("seq_id", "link_id").bitwiseAND(F.lit(2**63 - 1)).alias("link_id"), "pos"), "linkset").df
-    link_types, forms, uncompressed = cluster_and_rewrite(seq, linkset, previous_forms, params)
-    small = rewrite.compress_sequence(seq, linkset, link_types)
-    compressed = write_table(sequence.token_sequence(small, "seq_id", ["pos"], "token"), "compressed").df
-    return Layer(sequence.vocabulary(seq), prob, thresholds, edges, linkset, link_types, forms, uncompressed, compressed)
+    with tables() as kept:
+        found = find_edges(seq, params, stored)
+        edges = write_table(found.edges, "edges")
+        group = (links.link_groups_merged if params.merged_groups else links.link_groups)(edges.df)
+        linkset = write_table(links.numbered_links(group), "linkset")
+        link_types, forms, uncompressed = (write_table(t, n) for t, n in zip(cluster_and_rewrite(seq, linkset.df, previous_forms, params), ("link-types", "forms", "uncompressed")))
+        small = rewrite.compress_sequence(seq, linkset.df, link_types.df)
+        compressed = write_table(sequence.token_sequence(small, "seq_id", ["pos"], "token"), "compressed")
+        vocabulary = write_table(sequence.vocabulary(seq), "vocabulary")
+        rest = [write_table(t, n) if t is not None else None for t, n in ((found.prob, "prob"), (found.deltas, "deltas"), (found.thresholds, "thresholds"))]
+        kept += [vocabulary, edges, linkset, link_types, forms, uncompressed, compressed, *(w for w in rest if w)]
+    return Layer(vocabulary.df, *(w and w.df for w in rest), edges.df, linkset.df, link_types.df, forms.df, uncompressed.df, compressed.df)
 
 
 def run_layers(seq: DataFrame, layers: int, params: Params = Params(), folder: str | None = None) -> list[Layer]:

@@ -6,7 +6,9 @@ canonical forms and matching work on. Floats that are sums are rounded where the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +17,26 @@ from seqweave.functions.naming import event_name
 from seqweave.operators import links, model, network, rewrite, sequence, similarity, thresholds, types
 from seqweave.plans import pipeline
 from seqweave.schema import Params
-from seqweave.session import write_table
+from seqweave.session import remove, shared_dir, write_table
+from seqweave.sources import text
 from seqweave.sources.tables import table
 
-LOOKAHEAD, WINDOW, BATCH = 3, 10, 50
-PARAMS = Params(lookahead=LOOKAHEAD, window=WINDOW)
-#: As far as the published run looks ahead; queries whose SQL looks LOOKAHEAD positions ahead have a second form with this.
-WHOLE = Params(window=WINDOW)
+WINDOW, BATCH = 10, 50
+#: As far ahead, and with windows as long, as the published run looked.
+PARAMS = Params(window=WINDOW)
+LOOKAHEAD = PARAMS.lookahead
 
 
 def _seq(spark: SparkSession, d: str) -> DataFrame:
     return sequence.token_sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the one sequence that the text formats hold."""
+    events = table(spark, d, "events").withColumn("all", F.lit(0))
+    return sequence.token_sequence(events, "all", ["ts", "event_id"], "event_type")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return sequence.lookahead_pairs(_seq(spark, d), LOOKAHEAD)
 
@@ -36,13 +45,12 @@ def _prob(spark: SparkSession, d: str) -> DataFrame:
     return model.next_event_prob(_pairs(spark, d))
 
 
-def _edges(spark: SparkSession, d: str, params: Params = PARAMS) -> DataFrame:
-    edges, _, _ = pipeline.find_edges(_seq(spark, d), params)
-    return edges
+def _edges(seq: DataFrame) -> DataFrame:
+    return pipeline.find_edges(seq, PARAMS).edges
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return links.link_groups(_edges(spark, d))
+def _groups(seq: DataFrame) -> DataFrame:
+    return links.link_groups(_edges(seq))
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +123,7 @@ def probability_deltas(spark, d):
 def network_probabilities(spark, d):
     s = _seq(spark, d)
     vocab = sequence.vocabulary(s)
-    net = network.NetworkEstimator(WHOLE.lookahead, WHOLE.window, epochs=20).fit(s, vocab)
+    net = network.NetworkEstimator(LOOKAHEAD, WINDOW, epochs=20).fit(s, vocab)
     return network.scores(net.transform(s, vocab), vocab)
 
 
@@ -128,8 +136,25 @@ def thresholds_query(spark, d):
     return t.select("token", F.round("threshold", 9).alias("threshold"))
 
 
+def thresholds_of_sample(spark, d):
+    """Thresholds learnt from half of the rows, whole rows being drawn."""
+    seq = _seq(spark, d)
+    t = pipeline.find_edges(seq, replace(PARAMS, sample=0.5)).thresholds
+    return t.select("token", F.round("threshold", 9).alias("threshold"))
+
+
+def thresholds_of_three(spark, d):
+    """Thresholds between the two largest of three clusters."""
+    t = thresholds.k_means_thresholds(thresholds.value_weights(_prob(spark, d)), 3)
+    return t.select("token", F.round("threshold", 9).alias("threshold"))
+
+
 def kmeans_assign(spark, d):
-    return table(spark, d, "events").select("event_id", thresholds.nearest(F.col("value"), [10.0, 50.0, 90.0]).alias("centre"))
+    """Each event's value and the nearest of the three centres of its type's values."""
+    events = table(spark, d, "events").where("event_type is not null").select("event_id", F.col("event_type").alias("token"), F.col("value").alias("p"))
+    centres = thresholds.k_means_centres(events.where("p is not null").withColumn("w", F.lit(1)), 3)
+    at = thresholds.nearest(F.col("p"), F.col("centres"))
+    return events.join(centres, "token", "left").select("event_id", at.alias("centre"), F.round(F.get("centres", at), 6).alias("at"))
 
 
 def estimate_epochs(spark, d):
@@ -144,23 +169,20 @@ def _named_split(spark, d):
 
 
 def link_edges(spark, d):
-    return _edges(spark, d)
+    return _edges(_seq(spark, d))
 
 
 def link_groups(spark, d):
-    return _groups(spark, d)
-
-
-def link_edges_whole(spark, d):
-    return _edges(spark, d, WHOLE)
+    return _groups(_seq(spark, d))
 
 
-def link_groups_whole(spark, d):
-    return links.link_groups(_edges(spark, d, WHOLE))
+def link_groups_merged(spark, d):
+    return links.link_groups_merged(_edges(_seq(spark, d)))
 
 
-def link_groups_merged(spark, d):
-    return links.link_groups_merged(_edges(spark, d))
+def delta_edges(spark, d):
+    """Edges by the rise of probabilities instead of the probabilities."""
+    return pipeline.find_edges(_seq(spark, d), replace(PARAMS, score_source="delta")).edges
 
 
 def link_contents(spark, d):
@@ -194,6 +216,12 @@ def match_previous_types(spark, d):
     return types.match_previous(_forms(spark, d), _previous(spark, d), PARAMS.threshold)
 
 
+def rename_matched(spark, d):
+    """Links under the names of the earlier types that theirs match."""
+    named = table(spark, d, "link_types").select("link_id", "type_name").distinct()
+    return types.renamed_by_match(named, match_previous_types(spark, d))
+
+
 def rename_types(spark, d):
     rows = table(spark, d, "link_types").select("link_id", F.when(F.col("link_id") % 3 != 0, F.regexp_extract("type_name", "([0-9]+)$", 1)).otherwise(F.col("type_name")).alias("type_name"))
     rows = rows.distinct()
@@ -205,16 +233,12 @@ def update_dataset(spark, d):
     return rewrite.update_dataset(_named(spark, d), table(spark, d, "linkset"), table(spark, d, "link_types"))
 
 
-def _grouped(spark, d):
-    """Groups of the event sequences, named over all sequences, each of the type of its size."""
-    own = write_table(_groups(spark, d).select("seq_id", (F.col("seq_id") * 1000000 + F.col("link_id")).alias("link_id"), "pos"), "groups").df
-    kinds = own.groupBy("link_id").agg(F.concat(F.lit("new_event_"), F.count("*").cast("string")).alias("type_name"))
-    return own, kinds
-
-
 def compress_sequence(spark, d):
-    own, kinds = _grouped(spark, d)
-    return rewrite.compress_sequence(_seq(spark, d), own, kinds)
+    """The event sequences with each group as one event, of the type of its size."""
+    seq = _seq(spark, d)
+    own = write_table(links.numbered_links(_groups(seq)), "groups").df
+    kinds = own.groupBy("link_id").agg(F.concat(F.lit("new_event_"), F.count("*").cast("string")).alias("type_name"))
+    return rewrite.compress_sequence(seq, own, kinds)
 
 
 def split_sequence(spark, d):
@@ -226,19 +250,124 @@ def holdout_split(spark, d):
 
 
 def activity_pipeline(spark, d):
-    layer = pipeline.run_layer(_seq(spark, d), None, WHOLE)
-    return layer.split(WHOLE)
+    layer = pipeline.run_layer(_seq(spark, d), None, PARAMS)
+    return layer.split(PARAMS)
+
+
+def activity_links(spark, d):
+    """The links of the first layer and their types."""
+    layer = pipeline.run_layer(_seq(spark, d), None, PARAMS)
+    return layer.linkset.join(layer.link_types, "link_id", "left").select("seq_id", "link_id", "pos", "type_name")
 
 
 def two_layer_pipeline(spark, d):
-    return pipeline.run_layers(_seq(spark, d), 2, WHOLE)[-1].compressed
+    return pipeline.run_layers(_seq(spark, d), 2, PARAMS)[-1].compressed
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+
+
+def _back(df: DataFrame, folder: str) -> DataFrame:
+    """What was read back, kept as a table; the text files are removed."""
+    out = write_table(df, "read").df
+    remove(df.sparkSession, folder)
+    return out
+
+
+def text_sequence(spark, d):
+    """A sequence written as the three files of a split and read again."""
+    to = _folder(spark)
+    text.write_splits(rewrite.split_sequence(_stream(spark, d)), to)
+    return _back(text.read_sequence(spark, to), to)
+
+
+def text_vocabulary(spark, d):
+    to = _folder(spark)
+    text.write_vocabulary(sequence.vocabulary(_named_split(spark, d)), f"{to}/vocabulary")
+    return _back(text.read_vocabulary(spark, f"{to}/vocabulary"), to)
+
+
+def text_thresholds(spark, d):
+    to = _folder(spark)
+    s = _seq(spark, d)
+    t = thresholds.two_means_thresholds(thresholds.value_weights(model.next_event_prob(sequence.lookahead_pairs(s, LOOKAHEAD))))
+    text.write_thresholds(t.join(sequence.vocabulary(s), "token"), f"{to}/thresholds")
+    return _back(text.read_thresholds(spark, f"{to}/thresholds").select("token_id", F.round("threshold", 9).alias("threshold")), to)
+
+
+def _matrices(spark, d, value):
+    """The matrices of the one sequence, a file for each offset, written and read again cell by cell."""
+    to = _folder(spark)
+    s = _stream(spark, d)
+    vocab = sequence.vocabulary(s)
+    rows = write_table(model.probability_rows(model.next_event_prob(sequence.lookahead_pairs(s, LOOKAHEAD)), vocab), "rows").df
+    at = write_table(value(s, rows), "matrix").df
+    out = None
+    for k in range(1, LOOKAHEAD + 1):
+        text.write_matrix(at.where(F.col("k") == k).select("pos", "p"), f"{to}/lookahead={k}")
+        read = text.read_matrix(spark, f"{to}/lookahead={k}", k)
+        out = read if out is None else out.unionByName(read)
+    cells = out.select("k", "pos", F.posexplode("p").alias("token_id", "p"))
+    return _back(cells.select("k", "pos", F.col("token_id").cast("long").alias("token_id"), F.round("p", 9).alias("p")), to)
+
+
+def text_probabilities(spark, d):
+    return _matrices(spark, d, lambda s, rows: s.join(rows, s.token == rows.ctx).select("k", "pos", "p"))
+
+
+def text_deltas(spark, d):
+    def vectors(s, rows):
+        each = model.probability_deltas(s, rows)
+        return each.groupBy("k", "pos").agg(F.sort_array(F.collect_list(F.struct("token_id", "delta"))).alias("o")).select("k", "pos", F.col("o.delta").alias("p"))
+
+    return _matrices(spark, d, vectors)
+
+
+def text_linkset(spark, d):
+    """Links by the number of their line."""
+    to = _folder(spark)
+    text.write_linkset(table(spark, d, "linkset"), f"{to}/links")
+    return _back(text.read_linkset(spark, f"{to}/links"), to)
+
+
+def text_link_types(spark, d):
+    to = _folder(spark)
+    one = table(spark, d, "link_types").groupBy("link_id").agg(F.min("type_name").alias("type_name"))
+    text.write_link_types(one, f"{to}/types")
+    return _back(text.read_link_types(spark, f"{to}/types"), to)
+
+
+def text_type_forms(spark, d):
+    to = _folder(spark)
+    text.write_type_forms(_forms(spark, d), f"{to}/forms")
+    return _back(text.read_type_forms(spark, f"{to}/forms").select("type_name", F.concat_ws(" ", "tokens").alias("tokens")), to)
+
+
+def stored_model(spark, d):
+    """A trained model, stored and loaded again: the probabilities it gives at every position."""
+    to = _folder(spark)
+    seq = _seq(spark, d)
+    model.MarkovEstimator(LOOKAHEAD).fit(seq).save(to)
+    return _back(model.MarkovModel.load(spark, to).transform(seq).select("seq_id", "pos", "k", "token", F.round("p", 9).alias("p")), to)
+
+
+def preloaded_matrix(spark, d):
+    """One offset of stored probabilities, read through the memory that keeps matrices."""
+    to = _folder(spark)
+    model.MarkovModel(_prob(spark, d)).save(to)
+    held = network.Preloaded(spark)
+    out = _back(held.matrix(to, 1).select("k", "ctx", "nxt", "n", "n_ctx", "p"), to)
+    held.unload()
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         token_sequence, vocabulary, numberify, lookahead_pairs, sliding_windows, one_hot_labels, batch_layout, next_event_prob, probability_column, matrix_shape,
-        probability_deltas, network_probabilities, sampled_scan, kmeans_assign, estimate_epochs, link_edges, link_groups, link_edges_whole, link_groups_whole, link_groups_merged, link_contents, link_span, link_similarity,
-        cluster_links, canonical_forms, match_previous_types, rename_types, update_dataset, compress_sequence, split_sequence, holdout_split, activity_pipeline,
-        two_layer_pipeline,
+        probability_deltas, network_probabilities, sampled_scan, thresholds_of_sample, thresholds_of_three, kmeans_assign, estimate_epochs, link_edges, link_groups, link_groups_merged, delta_edges,
+        link_contents, link_span, link_similarity, cluster_links, canonical_forms, match_previous_types, rename_matched, rename_types, update_dataset, compress_sequence,
+        split_sequence, holdout_split, activity_pipeline, activity_links, two_layer_pipeline, text_sequence, text_vocabulary, text_thresholds, text_probabilities, text_deltas, text_linkset,
+        text_link_types, text_type_forms, stored_model, preloaded_matrix,
     )
     return {f.__name__: f for f in all_} | {"thresholds": thresholds_query}

@@ -25,7 +25,11 @@ class Params:
     merged_groups: bool = False
     estimator: str = "counts"  # or "network"
     score_source: str = "prob"  # or "delta", of counts
-    sample: float | None = None
+    sample: float | None = None  # the share of rows that thresholds are learnt from; None: all
+    k_means: int = 2
+    k_means_rounds: int = 15  # for more than two clusters
+    do_train: bool = True  # otherwise ``stored`` of run_layer has the probabilities
+    do_deltify: bool = False  # deltas are made and stored, whatever links are scored by
     seed: int = 42
     embedding: float = 120.0
     embedding_growth: float = 1.02

@@ -63,9 +63,13 @@ class Written:
         for s in _scopes:
             if self in s:
                 s.remove(self)
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the file system it is on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: The written tables that still stand, by open scope; the first holds those that no scope will remove.
