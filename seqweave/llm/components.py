@@ -18,13 +18,27 @@ from pyspark.sql import functions as F
 from seqweave.session import partitions, ship, write_table
 
 EDGE = "seq_id long, hi long, lo long"
+#: Edges that a task joins at once (about 100 MB).
+PORTION = 1_000_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a chunk to (node, least node of its group in the chunk), one row for each of its nodes."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
+    """The edges of a chunk to (node, least node of its group in the chunk), one row for each of its nodes; a chunk is what
+    a task has, in portions of about PORTION edges."""
+    got: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+            n += b.num_rows
+        if n >= PORTION:
+            yield _star_rows(got)
+            got, n = [], 0
+    if got:
+        yield _star_rows(got)
+
+
+def _star_rows(got: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(got)
     seq, hi, lo = (t.column(i).to_numpy() for i in range(3))
     of, at = np.concatenate([seq, seq]), np.concatenate([hi, lo])
@@ -35,7 +49,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code[order] = np.cumsum(new) - 1
     of, at = of[new], at[new]
     label = local_labels(len(at), code[: len(seq)], code[len(seq) :])
-    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(at[label])], names=["seq_id", "hi", "lo"])
+    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(at[label])], names=["seq_id", "hi", "lo"])
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
