@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.operators.sequence import token_sequence
-from seqweave.session import Written, write_table
+from seqweave.session import Written, partitions, ship, write_table
+
+#: Pairs that a task joins at once (about 100 MB).
+PORTION = 1_000_000
 
 
 def link_edges(pairs: DataFrame, prob: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -35,8 +42,55 @@ def score_edges(pairs: DataFrame, scores: DataFrame, thresholds: DataFrame) -> D
     return pairs.join(at, ["seq_id", "k", "one", "nxt"], "left_semi").select("seq_id", "k", "one", "two")
 
 
+def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component, by vectorised hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        differ = la != lb
+        if not differ.any():
+            return label
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``seq_id, a, b`` to ``seq_id, v, p``: each node of a chunk with the least node of its group in the chunk. A chunk
+    is what a task has, in portions of about PORTION pairs."""
+    got: list[pa.RecordBatch] = []
+    n = 0
+    for x in batches:
+        if x.num_rows:
+            got.append(x)
+            n += x.num_rows
+        if n >= PORTION:
+            yield _stars(got)
+            got, n = [], 0
+    if got:
+        yield _stars(got)
+
+
+def _stars(got: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(got)
+    seq, a, b = (t.column(i).to_numpy() for i in range(3))
+    of, at = np.concatenate([seq, seq]), np.concatenate([a, b])
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1])]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    of, at = of[new], at[new]
+    label = local_labels(len(at), code[: len(seq)], code[len(seq) :])
+    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(at[label])], names=["seq_id", "v", "p"])
+
+
 def _jump(parents: DataFrame) -> Written:
-    """``seq_id, v, r``: the root of each node of a forest ``seq_id, v, p`` (roots are their own parents); three jumps a job."""
+    """``seq_id, v, p``: the root of each node of a forest (roots are their own parents); three jumps a job."""
     now, last = parents, None
     while True:
         for _ in range(3):
@@ -51,52 +105,61 @@ def _jump(parents: DataFrame) -> Written:
             return w
 
 
-def _membership(roots: DataFrame) -> DataFrame:
-    """``seq_id, link_id, pos``: a group is named by its least position."""
-    least = roots.groupBy("seq_id", "p").agg(F.min("v").alias("link_id"))
-    return roots.join(least, ["seq_id", "p"]).select("seq_id", "link_id", F.col("v").alias("pos"))
+def _joined(pairs: DataFrame) -> DataFrame:
+    """``seq_id, link_id, pos``: the connected components of pairs ``seq_id, a, b``, named by their least position.
+
+    Each chunk of pairs is first reduced to its own stars. Where a node has stars in several chunks their centres belong
+    together: only these take rounds of joins, in each of which every root hooks on the least root next to it if that is
+    smaller, and pointers are shortened. A root that doesn't hook has only larger neighbours, which do, so at most half of
+    the trees remain.
+    """
+    spark = pairs.sparkSession
+    ship(spark)
+    stars = write_table(pairs.repartitionByRange(partitions(spark), "seq_id", "a", "b").mapInArrow(local_stars, "seq_id long, v long, p long"), "stars").df
+    nodes = write_table(stars.groupBy("seq_id", "v").agg(F.min("p").alias("m"), F.count("*").alias("chunks")), "nodes").df
+    several = nodes.where("chunks > 1").select("seq_id", "v", "m")
+    now = write_table(stars.join(several, ["seq_id", "v"]).where("p <> m").select("seq_id", F.col("p").alias("a"), F.col("m").alias("b")).distinct(), "pairs")
+    if now.df.isEmpty():
+        return nodes.select("seq_id", F.col("m").alias("link_id"), F.col("v").alias("pos"))
+    centres = now.df.select("seq_id", F.col("a").alias("v")).unionByName(now.df.select("seq_id", F.col("b").alias("v"))).distinct()
+    label = write_table(centres.select("seq_id", "v", F.col("v").alias("p")), "components")
+    while not now.df.isEmpty():
+        ends = now.df.unionByName(now.df.select("seq_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ends.groupBy("seq_id", "a").agg(F.min("b").alias("m"))
+        root = _jump(least.select("seq_id", F.col("a").alias("v"), F.least("a", "m").alias("p")))
+        to = root.df.select("seq_id", F.col("v").alias("p"), F.col("p").alias("q"))
+        after = write_table(label.df.join(to, ["seq_id", "p"], "left").select("seq_id", "v", F.coalesce("q", "p").alias("p")), "components")
+        qa, qb = to.select("seq_id", F.col("p").alias("a"), F.col("q").alias("na")), to.select("seq_id", F.col("p").alias("b"), F.col("q").alias("nb"))
+        rest = write_table(now.df.join(qa, ["seq_id", "a"]).join(qb, ["seq_id", "b"]).where("na <> nb").select("seq_id", F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "pairs")
+        label.drop(), now.drop(), root.drop()
+        label, now = after, rest
+    end = label.df.select("seq_id", F.col("v").alias("m"), F.col("p").alias("to"))
+    return nodes.join(end, ["seq_id", "m"], "left").select("seq_id", F.coalesce("to", "m").alias("link_id"), F.col("v").alias("pos"))
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.where("one is not null and two is not null and one <> two and seq_id is not null")
 
 
 def link_groups(edges: DataFrame) -> DataFrame:
     """``seq_id, link_id, pos``: groups as edges arrive in the order of offset and position.
 
     A position joins the group of its partner at its first edge, or both start a new one; later edges between placed
-    positions change nothing. So groups are the trees that each position's first edge makes; in each, the two positions
-    whose first edge is the same are the root. Pointer jumping needs a logarithmic number of joins. Repeated edges
-    count once; edges with a null end or of a position with itself are dropped.
+    positions change nothing. So groups are the trees that each position's first edge makes: the components of first edges.
+    Repeated edges count once; edges with a null end or of a position with itself are dropped.
     """
-    clean = edges.where("one is not null and two is not null and one <> two and seq_id is not null").select("seq_id", "k", "one", "two")
+    clean = _clean(edges).select("seq_id", "k", "one", "two")
     edge = F.struct("k", "one", "two").alias("e")
     ends = clean.select("seq_id", F.col("one").alias("v"), edge).unionByName(clean.select("seq_id", F.col("two").alias("v"), edge))
-    partner = F.when(F.col("v") == F.col("e.one"), F.col("e.two")).otherwise(F.col("e.one"))
-    first = write_table(ends.groupBy("seq_id", "v").agg(F.min("e").alias("e")).select("seq_id", "v", partner.alias("p")), "first-edges").df
-    back = first.select("seq_id", F.col("v").alias("p"), F.col("p").alias("pp"))
-    parents = first.join(back, ["seq_id", "p"]).select("seq_id", "v", F.when(F.col("pp") == F.col("v"), F.least("v", "p")).otherwise(F.col("p")).alias("p"))
-    return _membership(_jump(parents).df.select("seq_id", "v", "p"))
+    return _joined(ends.groupBy("seq_id", "v").agg(F.min("e").alias("e")).select("seq_id", F.col("e.one").alias("a"), F.col("e.two").alias("b")))
 
 
 def link_groups_merged(edges: DataFrame) -> DataFrame:
     """``seq_id, link_id, pos``: groups that merge when an edge joins them, the connected components of all edges.
 
-    Each round every tree's root hooks on the least root next to it if that is smaller, and pointers are shortened. A root
-    that doesn't hook has only larger neighbours, which do, so at most half of the trees remain. Same treatment of repeated, null and self edges as :func:`link_groups`.
+    Same treatment of repeated, null and self edges as :func:`link_groups`.
     """
-    clean = edges.where("one is not null and two is not null and one <> two and seq_id is not null").select("seq_id", "one", "two").distinct()
-    now = write_table(clean.select("seq_id", F.col("one").alias("a"), F.col("two").alias("b")), "pairs")
-    nodes = now.df.select("seq_id", F.col("a").alias("v")).unionByName(now.df.select("seq_id", F.col("b").alias("v"))).distinct()
-    label = write_table(nodes.select("seq_id", "v", F.col("v").alias("p")), "components")
-    while not now.df.isEmpty():
-        ends = now.df.unionByName(now.df.select("seq_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("seq_id", "a").agg(F.min("b").alias("m"))
-        hooked = least.select("seq_id", F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        root = _jump(hooked)
-        to = root.df.select("seq_id", F.col("v").alias("p"), F.col("p").alias("q"))
-        after = write_table(label.df.join(to, ["seq_id", "p"], "left").select("seq_id", "v", F.coalesce("q", "p").alias("p")), "components")
-        qa, qb = to.select("seq_id", F.col("p").alias("a"), F.col("q").alias("na")), to.select("seq_id", F.col("p").alias("b"), F.col("q").alias("nb"))
-        rest = write_table(now.df.join(qa, ["seq_id", "a"]).join(qb, ["seq_id", "b"]).where("na <> nb").select("seq_id", F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "pairs")
-        label.drop(), now.drop(), root.drop()
-        label, now = after, rest
-    return _membership(label.df)
+    return _joined(_clean(edges).select("seq_id", F.col("one").alias("a"), F.col("two").alias("b")))
 
 
 def numbered_links(groups: DataFrame) -> DataFrame:

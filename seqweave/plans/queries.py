@@ -123,7 +123,7 @@ def probability_deltas(spark, d):
 def network_probabilities(spark, d):
     s = _seq(spark, d)
     vocab = sequence.vocabulary(s)
-    net = network.NetworkEstimator(LOOKAHEAD, WINDOW, epochs=20).fit(s, vocab)
+    net = network.NetworkEstimator(LOOKAHEAD, WINDOW, embedding=100, layers=2, epochs=3, epoch_increment=1).fit(s, vocab)
     return network.scores(net.transform(s, vocab), vocab)
 
 

@@ -179,6 +179,18 @@ def test_groups_as_edges_arrive(spark):
     assert links.link_groups(edges.where("false")).count() == 0 and links.link_groups_merged(edges.where("false")).count() == 0
 
 
+def test_groups_over_chunk_borders(spark):
+    """Long chains fall into the chunks of all tasks, which are joined by rounds over their centres."""
+    import random
+
+    rnd = random.Random(2)
+    names = {s: rnd.sample(range(10_000), 900) for s in (1, 2)}
+    pairs = [(s, a, b) for s, ns in names.items() for chain in (ns[:600], ns[600:]) for a, b in zip(chain, chain[1:])]
+    rnd.shuffle(pairs)
+    got = links.link_groups_merged(spark.createDataFrame([(s, 1, a, b) for s, a, b in pairs], "seq_id long, k int, one long, two long"))
+    assert rows(got) == sorted((s, min(chain), v) for s, ns in names.items() for chain in (ns[:600], ns[600:]) for v in chain)
+
+
 def test_groups_of_the_documented_case(spark):
     edges = spark.createDataFrame([(0, 1, 0, 1), (0, 1, 4, 5), (0, 4, 1, 5)], "seq_id long, k int, one long, two long")
     assert rows(links.link_groups(edges), "link_id", "pos") == [(0, 0), (0, 1), (4, 4), (4, 5)]
@@ -368,7 +380,7 @@ def test_network_learns_a_cycle(spark, tmp_path):
 
     s = seq_of(spark, list("abcd") * 30)
     vocab = sequence.vocabulary(s)
-    net = network.NetworkEstimator(2, 3, epochs="auto").fit(s, vocab)
+    net = network.NetworkEstimator(2, 3, embedding=10, epochs="auto", rate=0.03).fit(s, vocab)
     scored = network.scores(net.transform(s, vocab), vocab)
     best = {(r.pos, r.k): r.t for r in scored.groupBy("pos", "k").agg(F.max_by("token", "p").alias("t")).collect()}
     assert len(best) == 2 * 118
@@ -376,17 +388,41 @@ def test_network_learns_a_cycle(spark, tmp_path):
     assert right / len(best) >= 0.8
     total = scored.groupBy("pos", "k").agg(F.sum("p").alias("p")).agg(F.min("p"), F.max("p")).first()
     assert total[0] == pytest.approx(1) and total[1] == pytest.approx(1)
-    net.save(str(tmp_path / "net"))
-    again = network.NetworkModel.load(str(tmp_path / "net"), [1, 2], 3, 4)
-    assert again.transform(s, vocab).count() == net.transform(s, vocab).count()
+    net.save(spark, str(tmp_path / "net"))
+    again = network.NetworkModel.load(spark, str(tmp_path / "net"), 3, 4)
+    assert again.transform(s, vocab).select("pos", "k", F.transform("p", lambda x: F.round(x, 5))).exceptAll(net.transform(s, vocab).select("pos", "k", F.transform("p", lambda x: F.round(x, 5)))).count() == 0
+    assert sorted(network.NetworkModel.load(spark, str(tmp_path / "net"), 3, 4, [2]).nets) == [2]
     assert network.NetworkEstimator(1, 200).fit(s, vocab).transform(s, vocab).count() == 0
+    with pytest.raises(ValueError):
+        network.Lstm(10**6, 100, [20])
     assert network.hidden_layers(120, 2) == [24, 24] and network.hidden_layers(50, 1) == [20]
     assert network.stop([0.1, 0.85]) and network.stop([0.5, 0.5, 0.5]) and not network.stop([0.5, 0.6, 0.5])
-    found = pipeline.find_edges(s, Params(lookahead=2, window=3, estimator="network", network_layers=1, epochs=60))
+    found = pipeline.find_edges(s, Params(lookahead=2, window=3, estimator="network", network_layers=2, epochs=4))
     edges, thr = found.edges, found.thresholds
     assert thr.count() == 4 and edges.where("two - one = k").count() == edges.count() > 0
 
 
+def test_gradient_of_the_network():
+    import numpy as np
+
+    from seqweave.operators.network import Lstm
+
+    rnd = np.random.default_rng(0)
+    net, windows, labels = Lstm(5, 7, [4, 3]), rnd.integers(0, 5, (6, 4)), rnd.integers(0, 5, 6)
+    g = net.gradient(windows, labels)
+
+    def loss():
+        return -np.log(net.forward(windows)[np.arange(6), labels]).mean()
+
+    for i in rnd.choice(len(g), 60, replace=False):
+        at = net.weights[i]
+        net.weights[i] = at + 1e-6
+        up = loss()
+        net.weights[i] = at - 1e-6
+        assert (up - loss()) / 2e-6 == pytest.approx(g[i], abs=1e-6)
+        net.weights[i] = at
+
+
 def test_preloaded_matrices(spark, tmp_path):
     from seqweave.operators import network
 
