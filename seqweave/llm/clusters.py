@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.llm.components import components, local_labels
+from seqweave.llm.components import components
+from seqweave.operators.links import local_labels
 from seqweave.operators.sequence import token_sequence
 from seqweave.session import Written, partitions, ship, tables, write_table
 

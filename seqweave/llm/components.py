@@ -8,66 +8,12 @@ last join takes what they come to back to the nodes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.operators.links import local_stars
 from seqweave.session import partitions, ship, write_table
 
-EDGE = "seq_id long, hi long, lo long"
-#: Edges that a task joins at once (about 100 MB).
-PORTION = 1_000_000
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a chunk to (node, least node of its group in the chunk), one row for each of its nodes; a chunk is what
-    a task has, in portions of about PORTION edges."""
-    got: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        if b.num_rows:
-            got.append(b)
-            n += b.num_rows
-        if n >= PORTION:
-            yield _star_rows(got)
-            got, n = [], 0
-    if got:
-        yield _star_rows(got)
-
-
-def _star_rows(got: list[pa.RecordBatch]) -> pa.RecordBatch:
-    t = pa.Table.from_batches(got)
-    seq, hi, lo = (t.column(i).to_numpy() for i in range(3))
-    of, at = np.concatenate([seq, seq]), np.concatenate([hi, lo])
-    order = np.lexsort((at, of))
-    of, at = of[order], at[order]
-    new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1])]
-    code = np.empty(len(order), np.int64)
-    code[order] = np.cumsum(new) - 1
-    of, at = of[new], at[new]
-    label = local_labels(len(at), code[: len(seq)], code[len(seq) :])
-    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(at[label])], names=["seq_id", "hi", "lo"])
-
-
-def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node of each node's component, by vectorised hooking and pointer jumping."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        differ = la != lb
-        if not differ.any():
-            return label
-        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
 
 def _fingerprint(edges: DataFrame) -> tuple:
     """Number of the edges and two 64-bit hashes of the set of them."""
@@ -116,7 +62,7 @@ def components(pairs: DataFrame) -> DataFrame:
     )
     # Neighbouring positions share a chunk; a sequence with a third of all edges spreads over several.
     chunks = clean.repartitionByRange(partitions(spark), "seq_id", "lo", "hi")
-    stars = write_table(chunks.mapInArrow(_stars, EDGE), "stars")
+    stars = write_table(chunks.mapInArrow(local_stars, "seq_id long, v long, p long").withColumnsRenamed({"v": "hi", "p": "lo"}), "stars")
     own = stars.df.groupBy("seq_id", "hi").agg(F.min("lo").alias("m"), F.max("lo").alias("top"), F.count("*").alias("chunks"))
     nodes = write_table(own, "nodes").df
     centres = nodes.where("m <> top").select("seq_id", F.col("top").alias("hi"), F.col("m").alias("lo"))
