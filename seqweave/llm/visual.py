@@ -25,7 +25,7 @@ from seqweave.session import ship, tables, write_table
 #: Scripts of which some letters have the shape of another script's. The letters of a script aren't merged with each other.
 SCRIPTS = ("Greek", "Cyrillic", "Armenian", "Cherokee", "Coptic", "Lisu", "Tifinagh", "Deseret")
 # Letters that Unicode calls confusable and a reader can tell from their prototype.
-TOLD_APART = "ϒ Л \u03b1 γ \u03b9 κ \u03c1 ϱ \u03c3 τ \u03c5 г ҽ ѡ ⲅ ա գ զ ռ ք".split()
+TOLD_APART = "ϒ Л \u03b1 γ \u03b9 κ \u03c1 ϱ \u03c3 τ \u03c5 ᴦ г ҽ ѡ ⲅ ꮁ ա գ զ ռ ք".split()
 # Further letters of the same shape: Latin ones of another name, and those whose prototype is another letter of the same look.
 SAME_LETTER = {"ɑ": "a", "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ӏ": "l", "ә": "ə"}
 # Signs that differ in code only.
