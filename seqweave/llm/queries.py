@@ -185,6 +185,7 @@ s AS (SELECT link_id, type_name, count(*) AS shared FROM ln JOIN fn USING (name)
         "p5_pairs": overlap_sql + "SELECT link_id, type_name, CAST(shared AS DOUBLE) / (x + y - shared) AS similarity FROM s JOIN x USING (link_id) JOIN y USING (type_name) WHERE 5 * shared >= 3 * (x + y - shared)",
         "p3_found": _COUNTS + "SELECT token, mark FROM found WHERE mark IS NOT NULL",
         "p3_counts": _COUNTS + "SELECT token, n_events, n_sequences, mark FROM found",
+        "p4_all_pairs": _PAIRS + f"SELECT token_a, token_b, a.n AS n_a, b.n AS n_b, n_ab, round(CAST(n_ab * n.n AS DOUBLE) / (a.n * b.n), 9) AS lift, round(log2(CAST(n_ab * n.n AS DOUBLE) / (a.n * b.n)), 9) AS pmi {pair.partition(' WHERE ')[0]}",
         "p4_found": _PAIRS + f"SELECT token_a, token_b {pair}",
         "p5_found": overlap_sql + "SELECT link_id, type_name FROM s JOIN x USING (link_id) JOIN y USING (type_name) WHERE 5 * shared >= 3 * (x + y - shared)",
         "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
