@@ -203,7 +203,7 @@ def clusters_of(rows):
     return set(map(frozenset, out.values()))
 
 
-@pytest.mark.parametrize("seed, giant", [(1, 100_000), (2, 100_000), (3, 100_000), (4, 100_000), (1, 0), (2, 25)])
+@pytest.mark.parametrize("seed, giant", [(1, 100_000), (1, 0), (2, 25)])
 def test_hierarchy(spark, monkeypatch, seed, giant):
     """Components solved by a task, and those spread over all tasks, have the clusters that the definition gives."""
     monkeypatch.setattr(clusters, "GIANT", giant)
