@@ -470,3 +470,28 @@ def test_registered_queries_look_ten_ahead(spark, small):
     q = queries.queries()
     assert {r[0] for r in rows(q["link_edges"](spark, small), "k")} == set(range(1, 11))
     assert (queries.LOOKAHEAD, queries.WINDOW) == (10, 10)
+
+
+def test_groups_across_chunks_end_in_one_task(spark, monkeypatch):
+    n = 300
+    edges = spark.createDataFrame([(0, 1, i, i + 1) for i in range(n) if i % 100 != 99] + [(1, 1, 5, 7)], "seq_id long, k int, one long, two long")
+    want = [(0, i - i % 100, i) for i in range(n)] + [(1, 5, 5), (1, 5, 7)]
+    monkeypatch.setattr(links, "LOCAL_CENTRES", 0)
+    assert rows(links.link_groups_merged(edges)) == want
+    monkeypatch.undo()
+
+    def none(parents):
+        raise AssertionError("rounds of jobs for a few pairs")
+
+    monkeypatch.setattr(links, "_jump", none)
+    assert rows(links.link_groups_merged(edges)) == want
+
+
+def test_layers_write_each_table_once(spark, monkeypatch):
+    s = seq_of(spark, list("abcabcabdabc") * 5)
+    made = []
+    real = pipeline.write_table
+    monkeypatch.setattr(pipeline, "write_table", lambda df, label: made.append(label) or real(df, label))
+    layer = pipeline.run_layer(s, None, Params(lookahead=3))
+    assert made and len(made) == len(set(made)), made
+    assert layer.prob.count() > 0 and layer.link_types.count() > 0 and layer.compressed.count() > 0
