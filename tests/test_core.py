@@ -495,3 +495,17 @@ def test_layers_write_each_table_once(spark, monkeypatch):
     layer = pipeline.run_layer(s, None, Params(lookahead=3))
     assert made and len(made) == len(set(made)), made
     assert layer.prob.count() > 0 and layer.link_types.count() > 0 and layer.compressed.count() > 0
+
+
+def test_network_reads_windows_once_for_all_offsets(spark, monkeypatch):
+    from seqweave.operators import network
+
+    s = seq_of(spark, list("abcde") * 8)
+    vocab = sequence.vocabulary(s)
+    net = network.NetworkEstimator(3, 4, embedding=6, layers=2, epochs=2).fit(s, vocab)
+    one = net.transform(s, vocab)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert plan(one) == 1 and one.count() == 3 * 37
+    monkeypatch.setattr(network, "MOST_WEIGHTS", max(len(n.weights) for n in net.nets.values()))
+    apart = net.transform(s, vocab)
+    assert plan(apart) == 3 and rows(apart, "pos", "k", "p") == rows(one, "pos", "k", "p")
