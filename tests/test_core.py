@@ -497,6 +497,26 @@ def test_layers_write_each_table_once(spark, monkeypatch):
     assert layer.prob.count() > 0 and layer.link_types.count() > 0 and layer.compressed.count() > 0
 
 
+def test_network_in_single_precision():
+    import numpy as np
+
+    from seqweave.operators import network
+
+    rnd = np.random.default_rng(1)
+    windows, labels = rnd.integers(0, 5, (120, 6)), rnd.integers(0, 5, 120)
+    wide = network.Lstm(5, 8, [6, 4])
+    net = network.Lstm(5, 8, [6, 4], wide.weights, kind=np.float32)
+    g = net.gradient(windows, labels)
+    assert g.dtype == np.float32 and abs(g - wide.gradient(windows, labels)).max() < 1e-6
+    p = net.forward(windows)
+    assert p.dtype == np.float64 and abs(p - wide.forward(windows)).max() < 1e-6 and abs(p.sum(axis=1) - 1).max() < 1e-12
+    for x in (wide, net):
+        x.learn(windows, labels, 3, 1)
+    assert net.weights.dtype == np.float32 and abs(net.weights - wide.weights).max() < 1e-4
+    net.weights *= 1e4  # gates that are shut or open entirely
+    assert np.isfinite(net.forward(windows)).all() and np.isfinite(net.gradient(windows, labels)).all()
+
+
 def test_network_reads_windows_once_for_all_offsets(spark, monkeypatch):
     from seqweave.operators import network
 
