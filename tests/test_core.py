@@ -497,6 +497,17 @@ def test_layers_write_each_table_once(spark, monkeypatch):
     assert layer.prob.count() > 0 and layer.link_types.count() > 0 and layer.compressed.count() > 0
 
 
+def test_heap_is_relieved_at_written_tables(spark, monkeypatch):
+    from seqweave import session
+
+    calls = []
+    monkeypatch.setattr(session, "release", calls.append)
+    for share, n in ((2.0, 0), (0.0, 1)):
+        monkeypatch.setattr(session, "HEAP_SHARE", share)
+        session.write_table(spark.range(1), "heap").drop()
+        assert len(calls) == n
+
+
 def test_network_in_single_precision():
     import numpy as np
 
